@@ -85,16 +85,18 @@ def remove_stop_words(tokens, words=None) -> Column:
 
 
 def ngrams(tokens, n_max: int = 2) -> Column:
-    """C11: all 1..n_max-grams over the surviving tokens, joined by a space."""
+    """C11: all 1..n_max-grams over the surviving tokens, joined by a space.
+
+    Built from shifted slices zipped together, so no lambda captures the token
+    array (a captured array would be re-evaluated per element)."""
     toks = _c(tokens)
     out = toks
     for n in range(2, int(n_max) + 1):
-        grams = F.when(
-            F.size(toks) >= n,
-            F.transform(F.sequence(F.lit(1), F.size(toks) - n + 1),
-                        lambda i: F.array_join(F.slice(toks, i, n), " ")),
-        ).otherwise(F.array().cast("array<string>"))
-        out = F.concat(out, grams)
+        length = F.greatest(F.size(toks) - n + 1, F.lit(0))
+        g = F.slice(toks, 1, length)
+        for j in range(1, n):
+            g = F.zip_with(g, F.slice(toks, j + 1, length), lambda a, b: F.concat(a, F.lit(" "), b))
+        out = F.concat(out, g)
     return out
 
 
@@ -106,6 +108,16 @@ def analyzer(text, stop_words: bool = True, n_max: int = 2, keep_placeholders: b
     return ngrams(toks, n_max)
 
 
+def with_terms(df: DataFrame, text: str = "text", out: str = "terms", stop_words: bool = True,
+               n_max: int = 2, keep_placeholders: bool = False) -> DataFrame:
+    """Analyser as two projections: the token array is materialised once and
+    the n-gram expression reads the column."""
+    toks = vector_tokens(normalize_text(text, keep_placeholders))
+    if stop_words:
+        toks = remove_stop_words(toks)
+    return df.withColumn("_toks", toks).withColumn(out, ngrams("_toks", n_max)).drop("_toks")
+
+
 class TextNormalizer(Transformer, HasInputCol, HasOutputCol,
                      DefaultParamsReadable, DefaultParamsWritable):
     """ML transformer wrapping ``normalize_text``; fit is a no-op and

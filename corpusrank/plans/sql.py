@@ -28,3 +28,78 @@ def doc_times_cte(src: str = "emb_raw", seed: int = TD.seed) -> str:
 emb_time AS (SELECT doc_id,
                     CAST(row_number() OVER (ORDER BY {md5_key('doc_id', str(seed))}, doc_id) - 1 AS DOUBLE) AS doc_time
              FROM {src})"""
+
+
+# ---------------------------------------------------------------- text
+def sql_normalize(expr: str) -> str:
+    from corpusrank.functions.text import EMAIL_PATTERN, NOT_WHITELIST_PATTERN, NUM_PATTERN, URL_PATTERN
+    s = f"lower(coalesce(CAST({expr} AS VARCHAR), ''))"
+    s = f"regexp_replace({s}, '{URL_PATTERN}', ' URL ', 'gi')"
+    s = f"regexp_replace({s}, '{EMAIL_PATTERN}', ' EMAIL ', 'gi')"
+    s = f"regexp_replace({s}, '{NUM_PATTERN}', ' NUM ', 'g')"
+    s = f"regexp_replace({s}, '{NOT_WHITELIST_PATTERN}', ' ', 'g')"
+    return f"trim(regexp_replace({s}, '\\s+', ' ', 'g'))"
+
+
+def sql_tokenize(clean: str, cap: int = 0) -> str:
+    s = f"list_filter(string_split({clean}, ' '), lambda t: length(t) >= 2)"
+    if cap and cap > 0:
+        s = f"{s}[1:{int(cap)}]"
+    return s
+
+
+def sql_vector_tokens(clean: str) -> str:
+    from corpusrank.functions.text import VECTOR_TOKEN_PATTERN
+    return f"regexp_extract_all({clean}, '{VECTOR_TOKEN_PATTERN}')"
+
+
+def sql_stop_list() -> str:
+    from corpusrank.functions.text import english_stop_words
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in english_stop_words()) + "]"
+
+
+def sql_remove_stop(toks: str) -> str:
+    return f"list_filter({toks}, lambda t: NOT list_contains({sql_stop_list()}, t))"
+
+
+def sql_bigrams(toks: str) -> str:
+    """unigrams + bigrams of a list column named ``toks`` (zip of shifted slices)."""
+    return (f"list_concat({toks}, list_transform(list_zip({toks}[1:len({toks}) - 1], {toks}[2:len({toks})]), "
+            f"lambda p: p[1] || ' ' || p[2]))")
+
+
+# ---------------------------------------------------------------- corpus / splits
+def corpus_ctes(opts=TD) -> str:
+    """corpus(doc_id, text, label, y): documents joined to labels."""
+    return f"""
+corpus AS (SELECT d.doc_id, coalesce(CAST(d.text AS VARCHAR), '') AS text, CAST(l.{opts.label_col} AS INTEGER) AS label,
+                  CAST(l.{opts.label_col} = {int(opts.pos_class)} AS INTEGER) AS y
+           FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
+
+
+def folds_cte(src: str = "corpus", k: int = TD.outer_folds, seed: int = TD.seed, name: str = "folds") -> str:
+    """{name}(doc_id, y, fold) over {src}(doc_id, y)."""
+    return f"""
+{name}_rk AS (SELECT doc_id, y, row_number() OVER (PARTITION BY y ORDER BY {md5_key('doc_id', str(seed))}, doc_id) AS rk FROM {src}),
+{name}_off AS (SELECT y, coalesce(sum(n) OVER (ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
+               FROM (SELECT y, count(*) AS n FROM {src} GROUP BY y)),
+{name} AS (SELECT doc_id, y, CAST((off + rk - 1) % {k} + 1 AS INTEGER) AS fold FROM {name}_rk JOIN {name}_off USING (y))"""
+
+
+def splits_cte(folds: str = "folds", k: int = TD.outer_folds, seed: int = TD.seed,
+               val_size: float = TD.inner_val_size, name: str = "splits") -> str:
+    """{name}(fold, doc_id, y, split) from {folds}(doc_id, y, fold)."""
+    return f"""
+{name}_x AS (SELECT f.fold AS fold, x.doc_id, x.y, x.fold AS own FROM {folds} x, (SELECT unnest(generate_series(1, {k})) AS fold) f),
+{name}_cnt AS (SELECT fold, y, count(*) AS n_c FROM {name}_x WHERE own <> fold GROUP BY fold, y),
+{name}_q1 AS (SELECT fold, y, n_c, sum(n_c) OVER (PARTITION BY fold) AS n_part FROM {name}_cnt),
+{name}_q2 AS (SELECT *, CAST(ceil({float(val_size)!r} * n_part) AS BIGINT) AS n_val FROM {name}_q1),
+{name}_q3 AS (SELECT *, CAST(n_c AS DOUBLE) / CAST(n_part AS DOUBLE) * CAST(n_val AS DOUBLE) AS cont FROM {name}_q2),
+{name}_q4 AS (SELECT *, CAST(floor(cont) AS BIGINT) AS flo FROM {name}_q3),
+{name}_q5 AS (SELECT *, n_val - sum(flo) OVER (PARTITION BY fold) AS need, cont - flo AS rem FROM {name}_q4),
+{name}_q AS (SELECT fold, y, flo + CASE WHEN row_number() OVER (PARTITION BY fold ORDER BY rem DESC, y) <= need THEN 1 ELSE 0 END AS quota FROM {name}_q5),
+{name}_r AS (SELECT fold, doc_id, y, row_number() OVER (PARTITION BY fold, y ORDER BY md5(CAST({seed} + fold AS VARCHAR) || ':' || CAST(doc_id AS VARCHAR)), doc_id) AS rk
+             FROM {name}_x WHERE own <> fold),
+{name} AS (SELECT r.fold, r.doc_id, r.y, CASE WHEN r.rk <= q.quota THEN 'val' ELSE 'train' END AS split
+           FROM {name}_r r JOIN {name}_q q USING (fold, y)
+           UNION ALL SELECT fold, doc_id, y, 'test' AS split FROM {name}_x WHERE own = fold)"""
