@@ -103,3 +103,120 @@ def splits_cte(folds: str = "folds", k: int = TD.outer_folds, seed: int = TD.see
 {name} AS (SELECT r.fold, r.doc_id, r.y, CASE WHEN r.rk <= q.quota THEN 'val' ELSE 'train' END AS split
            FROM {name}_r r JOIN {name}_q q USING (fold, y)
            UNION ALL SELECT fold, doc_id, y, 'test' AS split FROM {name}_x WHERE own = fold)"""
+
+
+# ---------------------------------------------------------------- metrics
+def dbl(x: float) -> str:
+    """An exact double literal for DuckDB (plain decimals would be DECIMAL)."""
+    return f"CAST('{float(x)!r}' AS DOUBLE)"
+
+
+def fixture_cte(name: str = "fx") -> str:
+    """{name}(variant, doc_id, y, score): the score fixture on `embeddings`:
+    (1 + cos(embedding, centroid of label 0)) / 2 rounded to 6 places
+    ('r6') and to 2 places ('r2', with ties); y = (label = 0)."""
+    return f"""
+{name}_c AS (SELECT list(m ORDER BY i) AS c FROM (
+    SELECT i, avg(x) AS m FROM (
+        SELECT unnest(generate_series(1, len(embedding))) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x
+        FROM embeddings WHERE label = 0) GROUP BY i)),
+{name}_cos AS (SELECT vec_id AS doc_id, CAST(label = 0 AS INTEGER) AS y,
+       (1 + list_dot_product(e, c) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(c, c)))) / 2 AS s
+    FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), {name}_c),
+{name} AS (SELECT 'r6' AS variant, doc_id, y, round(s, 6) AS score FROM {name}_cos
+           UNION ALL SELECT 'r2' AS variant, doc_id, y, round(s, 2) AS score FROM {name}_cos)"""
+
+
+def events_fixture_cte(name: str = "evx") -> str:
+    """{name}(variant, doc_id, y, score): a large-pool fixture on `events`
+    (more than 800 distinct scores): y = (event_type = 'purchase'),
+    score = value / 500 rounded to 6 places."""
+    return f"""
+{name} AS (SELECT 'events' AS variant, event_id AS doc_id, CAST(event_type = 'purchase' AS INTEGER) AS y,
+                  round(value / {dbl(500.0)}, 6) AS score FROM events)"""
+
+
+def stats_cte(src: str, name: str = "st", keys: str = "variant") -> str:
+    """{name}(keys, score, pos, neg, cum_pos, cum_neg, P, N, n_distinct)."""
+    return f"""
+{name}_a AS (SELECT {keys}, score, CAST(sum(y) AS BIGINT) AS pos, CAST(sum(1 - y) AS BIGINT) AS neg FROM {src} GROUP BY {keys}, score),
+{name} AS (SELECT *, sum(pos) OVER (PARTITION BY {keys} ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_pos,
+                  sum(neg) OVER (PARTITION BY {keys} ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_neg,
+                  sum(pos) OVER (PARTITION BY {keys}) AS P, sum(neg) OVER (PARTITION BY {keys}) AS N,
+                  count(*) OVER (PARTITION BY {keys}) AS n_distinct
+           FROM {name}_a)"""
+
+
+def auc_ap_select(st: str = "st", keys: str = "variant") -> str:
+    return f"""SELECT {keys},
+       CASE WHEN max(P) > 0 AND max(N) > 0 THEN sum(neg * (cum_pos - pos + pos / 2.0)) / (max(P) * max(N)) END AS roc_auc,
+       CASE WHEN max(P) > 0 THEN sum(pos * (CAST(cum_pos AS DOUBLE) / (cum_pos + cum_neg))) / max(P) ELSE 0.0 END AS pr_auc
+FROM {st} GROUP BY {keys}"""
+
+
+def sweep_cte(st: str = "st", name: str = "sw", keys: str = "variant", grid: str | None = None) -> str:
+    """{name}(keys, thr, tp, fp, fn, f1) at the distinct scores (groups with
+    2..800 distinct scores) and, when ``grid`` names a (keys, thr) table, at
+    those thresholds via as-of lookup."""
+    small = f"""SELECT {keys}, score AS thr, cum_pos AS tp, cum_neg AS fp, P FROM {st}
+                WHERE n_distinct >= 2 AND n_distinct <= 800"""
+    parts = [small]
+    if grid:
+        parts.append(f"""SELECT g.{keys}, g.thr,
+                   coalesce((SELECT max(s.cum_pos) FROM {st} s WHERE s.{keys} = g.{keys} AND s.score >= g.thr), 0) AS tp,
+                   coalesce((SELECT max(s.cum_neg) FROM {st} s WHERE s.{keys} = g.{keys} AND s.score >= g.thr), 0) AS fp,
+                   (SELECT max(P) FROM {st} s WHERE s.{keys} = g.{keys}) AS P
+                   FROM {grid} g""")
+    body = "\n UNION ALL ".join(parts)
+    return f"""
+{name}_r AS ({body}),
+{name} AS (SELECT {keys}, thr, tp, fp, P - tp AS fn,
+                  CASE WHEN 2 * tp + fp + (P - tp) > 0 THEN 2.0 * tp / (2 * tp + fp + (P - tp)) ELSE 0.0 END AS f1
+           FROM {name}_r)"""
+
+
+def best_cte(sw: str = "sw", st: str = "st", name: str = "best", keys: str = "variant") -> str:
+    return f"""
+{name}_r AS (SELECT {keys}, thr, f1, row_number() OVER (PARTITION BY {keys} ORDER BY f1 DESC, thr) AS rk FROM {sw}),
+{name} AS (SELECT k.{keys}, coalesce(b.thr, 0.5) AS thr, b.f1
+           FROM (SELECT DISTINCT {keys} FROM {st}) k LEFT JOIN {name}_r b ON b.{keys} = k.{keys} AND b.rk = 1)"""
+
+
+def confusion_select(src: str, thr: str, keys: str = "variant") -> str:
+    """tp, fp, tn, fn per group at thresholds {thr}(keys, thr)."""
+    return f"""SELECT s.{keys}, max(t.thr) AS thr,
+       CAST(sum(CASE WHEN s.score >= t.thr AND s.y = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp,
+       CAST(sum(CASE WHEN s.score >= t.thr AND s.y = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+       CAST(sum(CASE WHEN s.score < t.thr AND s.y = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tn,
+       CAST(sum(CASE WHEN s.score < t.thr AND s.y = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fn
+FROM {src} s JOIN {thr} t ON s.{keys} = t.{keys} GROUP BY s.{keys}"""
+
+
+def rates_select(conf: str, keys: str = "variant") -> str:
+    return f"""SELECT *,
+  CASE WHEN tp + fp + tn + fn > 0 THEN CAST(tp + tn AS DOUBLE) / (tp + fp + tn + fn) ELSE 0.0 END AS acc,
+  CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / (tp + fp) ELSE 0.0 END AS precision,
+  CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) ELSE 0.0 END AS recall,
+  CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0.0 END AS f1,
+  CASE WHEN (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) > 0
+       THEN (CAST(tp AS DOUBLE) * tn - CAST(fp AS DOUBLE) * fn)
+            / sqrt(CAST(tp + fp AS DOUBLE) * (tp + fn) * (tn + fp) * (tn + fn)) ELSE 0.0 END AS mcc,
+  CASE WHEN tp + fn > 0 AND tn + fp > 0 THEN (CAST(tp AS DOUBLE) / (tp + fn) + CAST(tn AS DOUBLE) / (tn + fp)) / 2
+       WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn)
+       WHEN tn + fp > 0 THEN CAST(tn AS DOUBLE) / (tn + fp) END AS bal_acc
+FROM {conf}"""
+
+
+def ece_bin_sql(p: str, n_bins: int = 15) -> str:
+    from corpusrank.operators.metrics import ece_edges
+    e = ece_edges(n_bins)
+    parts = [f"WHEN {p} < {dbl(e[0])} THEN -1"]
+    for i in range(len(e) - 1):
+        parts.append(f"WHEN {p} < {dbl(e[i + 1])} THEN {i}")
+    return "CASE " + " ".join(parts) + f" ELSE {len(e) - 1} END"
+
+
+def reliability_bin_sql(p: str, n_bins: int = 15) -> str:
+    from corpusrank.operators.metrics import ece_edges
+    inner = ece_edges(n_bins)[1:-1]
+    return "(" + " + ".join(f"CASE WHEN {p} > {dbl(e)} THEN 1 ELSE 0 END" for e in inner) + ")"
