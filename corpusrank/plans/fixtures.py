@@ -38,3 +38,19 @@ def events_fixture(spark, sf) -> DataFrame:
     return ev.select(F.lit("events").alias("variant"), F.col("event_id").alias("doc_id"),
                      (F.col("event_type") == "purchase").cast("int").alias("y"),
                      F.round(F.col("value") / 500.0, 6).alias("score"))
+
+
+def experiment_fixture(spark, sf, opts=None) -> DataFrame:
+    """A scores table shaped like the experiment's output,
+    (fold, rep, model, split, doc_id, y, score), from the score fixture:
+    stratified folds and inner hold-outs over `embeddings` (y = label 0), two
+    candidate 'models' = the two rounding variants of the fixture score."""
+    from corpusrank.operators.splits import split_table, stratified_folds
+    from corpusrank.plans.common import TD
+    opts = opts or TD
+    emb = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"),
+                                                (F.col("label") == 0).cast("int").alias("y"))
+    splits = split_table(stratified_folds(emb, opts), opts)
+    fx = score_fixture(spark, sf).select(F.col("variant").alias("model"), "doc_id", "score")
+    return (splits.join(fx, "doc_id")
+                  .select("fold", F.lit("centroid").alias("rep"), "model", "split", "doc_id", "y", "score"))
