@@ -95,20 +95,21 @@ qv AS (SELECT l.variant, l.i, l.q, a.score + (b.score - a.score) * (l.h - l.lo)
 
 
 @query("quantile_grid", sql=f"""WITH {events_fixture_cte()}, {_GRID_SQL}
-SELECT variant, CAST(i AS BIGINT) AS i, round(q, 6) AS q, round(value, 6) AS value FROM qv""")
+SELECT variant, CAST(i AS BIGINT) AS i, round(q, 6) AS q, round(value, 12) AS value FROM qv""")
 def quantile_grid(spark, sf):
     """801 linearly interpolated quantiles of a 10,000-row pool."""
     g = M.quantile_grid(events_fixture(spark, sf), K)
-    return g.select("variant", "i", *_r(["q", "value"]))
+    # interpolated values have at most 11 decimals: 12 places avoids rounding ties
+    return g.select("variant", "i", *_r(["q"]), F.round("value", 12).alias("value"))
 
 
 @query("f1_sweep_grid", sql=f"""WITH {events_fixture_cte()}, {_GRID_SQL},
 {stats_cte('evx')}, grid AS (SELECT DISTINCT variant, value AS thr FROM qv), {sweep_cte(grid='grid')}, {best_cte()}
-SELECT variant, round(thr, 6) AS thr, round(f1, 6) AS f1 FROM best""")
+SELECT variant, round(thr, 12) AS thr, round(f1, 6) AS f1 FROM best""")
 def f1_sweep_grid(spark, sf):
     """D25 on a pool with more than 800 distinct scores (quantile thresholds)."""
     b = M.best_threshold(events_fixture(spark, sf), K)
-    return b.select("variant", *_r(["thr", "f1"]))
+    return b.select("variant", F.round("thr", 12).alias("thr"), *_r(["f1"]))
 
 
 @query("confusion", sql=f"""WITH {fixture_cte()}, {stats_cte('fx')}, {sweep_cte()}, {best_cte()}
