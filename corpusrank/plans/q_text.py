@@ -13,8 +13,13 @@ from corpusrank.plans.sql import (sql_bigrams, sql_normalize, sql_remove_stop, s
 CAP = TD.w2v_max_tokens_per_doc
 
 
+def _docs(spark, sf):
+    from corpusrank.session import spread
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def _clean(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.normalize_text("text").alias("clean"))
+    return _docs(spark, sf).select("doc_id", T.normalize_text("text").alias("clean"))
 
 
 @query("normalize_text", sql=f"SELECT doc_id, {sql_normalize('text')} AS clean FROM documents")
@@ -59,6 +64,6 @@ FROM (SELECT doc_id, {sql_bigrams('toks')} AS g
       FROM (SELECT doc_id, {sql_remove_stop(sql_vector_tokens(sql_normalize('text')))} AS toks FROM documents))""")
 def ngrams(spark, sf):
     """C11: unigrams + bigrams over the surviving tokens (the full analyser)."""
-    g = T.with_terms(table(spark, sf, "documents").select("doc_id", "text"), out="g")
+    g = T.with_terms(_docs(spark, sf), out="g")
     return g.select("doc_id", F.size("g").cast("long").alias("n_terms"),
                     F.array_join("g", "|").alias("terms"))

@@ -50,3 +50,15 @@ def cut_lineage(df):
     executors, unlike a local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df):
+    """Give CPU-heavy per-row work (regex analysis) at least one task per core.
+
+    A large input already has many file splits and is left alone; a few big
+    row groups (small test files) are redistributed round-robin."""
+    sc = df.sparkSession.sparkContext
+    want = sc.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
