@@ -5,8 +5,7 @@ and by the property tests in tests/."""
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -91,7 +90,9 @@ def experiment_grid(spark, sf):
 def results_inventory(spark, sf):
     """Entry 1 + A7-A10: run the experiment, write every output, list them."""
     from corpusrank.sources import results as RS
-    out = tempfile.mkdtemp(prefix="results-", dir=ensure_checkpoint_dir(spark).replace("file:", ""))
+    # a fresh folder under the shared checkpoint location (works for any
+    # Hadoop filesystem, not only a local one)
+    out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/results-{uuid.uuid4().hex}"
     res = run_benchmark(labelled(spark, sf), TD)
     RS.write_table(res.fold_results, out, "results_folds")
     RS.write_table(res.summary, out, "results_summary")
