@@ -32,12 +32,22 @@ def _k(keys):
 
 
 def _join(a: DataFrame, b: DataFrame, keys: list, how: str = "inner") -> DataFrame:
-    """Join on the group keys; ungrouped, ``b`` is a single row and is
-    attached by a broadcast equi-join on a constant (no cross join)."""
-    if keys:
-        return a.join(b, keys, how)
-    return (a.withColumn("_one", F.lit(1))
-             .join(F.broadcast(b.withColumn("_one", F.lit(1))), "_one", how).drop("_one"))
+    """Join on the group keys.  Ungrouped, ``b`` is one row of scalars (group
+    totals, a threshold): it is fetched with one small action and attached as
+    literals, so the plan holds no cross / nested-loop join."""
+    return a.join(b, keys, how) if keys else with_scalars(a, b)
+
+
+def with_scalars(a: DataFrame, one_row: DataFrame) -> DataFrame:
+    row = one_row.first()
+    if row is None:
+        out = a.limit(0)
+        for f in one_row.schema.fields:
+            out = out.withColumn(f.name, F.lit(None).cast(f.dataType))
+        return out
+    for f in one_row.schema.fields:
+        a = a.withColumn(f.name, F.lit(row[f.name]).cast(f.dataType))
+    return a
 
 
 # ------------------------------------------------------------------ E2 basis

@@ -20,11 +20,13 @@ from corpusrank.plans.common import table
 
 def score_fixture(spark, sf) -> DataFrame:
     emb = table(spark, sf, "embeddings")
+    # the centroid is one vector of the embedding dimension: computed by a
+    # distributed mean and attached as a literal (no join)
     cen = (emb.filter(F.col("label") == 0)
               .agg(Summarizer.mean(array_to_vector(F.col("embedding").cast("array<double>"))).alias("c"))
-              .select(vector_to_array("c").alias("c"), F.lit(1).alias("_one")))
-    x = (emb.withColumn("_one", F.lit(1))
-            .join(F.broadcast(cen), "_one")            # one row of `dim` doubles
+              .select(vector_to_array("c").alias("c")).first())
+    c = F.array(*[F.lit(float(v)) for v in (cen["c"] if cen is not None and cen["c"] is not None else [])])
+    x = (emb.withColumn("c", c)
             .select(F.col("vec_id").alias("doc_id"), (F.col("label") == 0).cast("int").alias("y"),
                     ((F.lit(1.0) + dot("embedding", "c") / (l2_norm("embedding") * l2_norm("c"))) / 2.0)
                     .alias("s")))

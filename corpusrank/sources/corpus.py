@@ -112,15 +112,12 @@ def positive_rate(df: DataFrame, y: str = "y") -> DataFrame:
 
 def class_weights(df: DataFrame, y: str = "y") -> DataFrame:
     """Balanced class weights n / (n_classes * n_c) per class."""
+    from corpusrank.operators.metrics import with_scalars
     per = df.groupBy(y).agg(F.count(F.lit(1)).cast("long").alias("n_c"))
-    tot = df.agg(F.count(F.lit(1)).cast("long").alias("n"),
-                 F.countDistinct(y).cast("long").alias("k"))
-    # tot is a single row; joining on a constant key keeps the plan an equi-join
-    per = per.withColumn("_one", F.lit(1))
-    tot = tot.withColumn("_one", F.lit(1))
-    return (per.join(F.broadcast(tot), "_one")
-               .select(F.col(y), "n_c",
-                       (F.col("n") / (F.col("k") * F.col("n_c"))).alias("weight"))
+    # totals over the (one row per class) table, attached as literals
+    tot = per.agg(F.sum("n_c").cast("long").alias("_n"), F.count(F.lit(1)).cast("long").alias("_k"))
+    return (with_scalars(per, tot)
+               .select(F.col(y), "n_c", (F.col("_n") / (F.col("_k") * F.col("n_c"))).alias("weight"))
                .withColumn("weight", F.round("weight", 6)))
 
 
