@@ -156,3 +156,17 @@ def run_benchmark(corpus: DataFrame, opts: Options) -> ExperimentResult:
         rep = res.winner.first()["rep"]
         res.tables.update(recommend(corpus, rep, opts))
     return res
+
+
+def write_outputs(res: ExperimentResult, opts: Options, out_dir: str) -> str:
+    """A7/A8 for a whole run: fold results, summary, the winner record (with
+    the paths it refers to) and every diagnostic / recommendation table."""
+    from corpusrank.sources import results as RS
+    folds_path = RS.write_table(res.fold_results, out_dir, "results_folds")
+    summary_path = RS.write_table(res.summary, out_dir, "results_summary")
+    if res.winner is not None:
+        rec = SEL.winner_record(res.summary, res.winner, opts, folds_path, summary_path)
+        RS.write_table(rec, out_dir, "winner")
+    for name, df in res.tables.items():
+        RS.write_table(df, out_dir, name)
+    return out_dir

@@ -15,7 +15,7 @@ from corpusrank.operators.embed import as_ml_vector, fit_lsa, fit_w2v
 from corpusrank.operators.models import fit_model, model_scores
 from corpusrank.operators.splits import split_table, stratified_folds
 from corpusrank.plans.common import TD
-from corpusrank.plans.experiment import run_benchmark, score_grid
+from corpusrank.plans.experiment import run_benchmark, score_grid, write_outputs
 from corpusrank.plans.q_corpus import labelled
 from corpusrank.plans.registry import query
 from corpusrank.session import ensure_checkpoint_dir
@@ -94,10 +94,5 @@ def results_inventory(spark, sf):
     # Hadoop filesystem, not only a local one)
     out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/results-{uuid.uuid4().hex}"
     res = run_benchmark(labelled(spark, sf), TD)
-    RS.write_table(res.fold_results, out, "results_folds")
-    RS.write_table(res.summary, out, "results_summary")
-    if res.winner_record is not None:
-        RS.write_table(res.winner_record, out, "winner")
-    for name, df in res.tables.items():
-        RS.write_table(df, out, name)
+    write_outputs(res, TD, out)
     return RS.inventory(spark, out)
