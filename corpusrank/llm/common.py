@@ -51,3 +51,9 @@ def saved(df: DataFrame, name: str = "saved") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sized(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """``df``, counted, as the small side of a join: broadcast up to
+    ``max_rows`` narrow rows, otherwise left to a sort-merge join."""
+    return F.broadcast(df) if df.count() <= max_rows else df
