@@ -11,7 +11,7 @@ class Options:
     text_col: str = "text"
     label_col: str = "label"
     id_col: str = "doc_id"
-    max_docs: int = 40000
+    max_docs: int = 0                # 0 = no cap
     seed: int = 42
     make_binary: bool = True
     pos_class: int = 0
@@ -24,7 +24,7 @@ class Options:
     keep_placeholders: bool = False
 
     # TF-IDF / LSA
-    tfidf_max_features: int = 60000
+    tfidf_max_features: int = 0      # 0 = every term with df >= min_df
     tfidf_ngram_max: int = 2
     tfidf_min_df: int = 2
     tfidf_stop_words: bool = True
@@ -35,11 +35,11 @@ class Options:
     w2v_window: int = 5
     w2v_min_count: int = 2
     w2v_epochs: int = 2
-    w2v_max_train_docs: int = 8000
-    w2v_max_tokens_per_doc: int = 2000
+    w2v_max_train_docs: int = 0      # 0 = all documents
+    w2v_max_tokens_per_doc: int = 0  # 0 = whole texts
+    w2v_partitions: int = 4          # part of the result, so not taken from the cluster
 
     # models
-    class_weight: str = "balanced"
     logreg_max_iter: int = 100
     svm_max_iter: int = 50
     gbt_max_iter: int = 20
@@ -55,7 +55,6 @@ class Options:
 
     # metrics
     n_bins: int = 15
-    threshold_grid_max: int = 800
     error_top_k: int = 200
 
     # retrieval
@@ -73,9 +72,6 @@ class Options:
     reps: tuple = ("tfidf_lsa", "w2v_avg")
     models: tuple = ("logreg", "linearsvc", "gbt")
 
-    # buckets used by the exact bucketed prefix sums
-    prefix_buckets: int = 256
-
     def to_dict(self) -> dict:
         return asdict(self)
 

@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from corpusrank.operators.prefix import quantile_bucketizer, running_sums
 from corpusrank.session import cut_lineage
 
-MAX_DISTINCT_THRESHOLDS = 800
 N_QUANTILES = 801
 
 
@@ -186,41 +185,37 @@ def quantile_grid(scores: DataFrame, keys=None, n_q: int = N_QUANTILES, n_bucket
 
 
 # ------------------------------------------------------------------ D25 / E4
-def threshold_candidates(scores: DataFrame, stats: DataFrame, keys=None,
-                         max_distinct: int = MAX_DISTINCT_THRESHOLDS) -> DataFrame:
-    """< 2 distinct scores -> none (threshold 0.5); <= max_distinct ->
-    every distinct score; else the distinct values of the 801-quantile grid."""
-    keys = _k(keys)
-    tot = _totals(stats, keys)
-    small = (stats.filter((F.col("n_distinct") >= 2) & (F.col("n_distinct") <= max_distinct))
-                  .select(*keys, F.col("score").alias("thr")))
-    big_keys = tot.filter(F.col("n_distinct") > max_distinct).select(*keys)
-    if big_keys.limit(1).count() == 0:          # no large pool: skip the grid
-        return small
-    big_scores = scores.join(big_keys, keys, "left_semi") if keys else scores
-    grid = quantile_grid(big_scores, keys).select(*keys, F.col("value").alias("thr")).distinct()
-    return small.unionByName(grid)
-
-
-def f1_sweep(scores: DataFrame, keys=None, stats: DataFrame | None = None) -> DataFrame:
-    """F1 of ``score >= thr`` at every candidate threshold ->
-    (keys, thr, tp, fp, fn, f1)."""
+def f1_sweep(scores: DataFrame, keys=None, stats: DataFrame | None = None,
+             thresholds: DataFrame | None = None) -> DataFrame:
+    """F1 of ``score >= thr`` -> (keys, thr, tp, fp, fn, f1).
+
+    Every distinct score of a group with at least two is a threshold, at any
+    size: its counts are the cumulative counts already in ``stats``.  Other
+    ``thresholds`` (keys, thr), such as a quantile grid, take an as-of lookup."""
     keys = _k(keys)
     stats = score_stats(scores, keys) if stats is None else stats
-    cands = threshold_candidates(scores, stats, keys)
-    c = counts_at(stats, cands, keys)
-    tot = _totals(stats, keys).select(*keys, "P")
-    c = _join(c, tot, keys)
+    if thresholds is None:
+        c = stats.filter(F.col("n_distinct") >= 2).select(
+            *keys, F.col("score").alias("thr"), F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"), "P")
+    else:
+        c = _join(counts_at(stats, thresholds, keys), _totals(stats, keys).select(*keys, "P"), keys)
     return c.select(*keys, "thr", "tp", "fp", (F.col("P") - F.col("tp")).alias("fn"),
                     f1_expr(F.col("tp"), F.col("fp"), F.col("P")).alias("f1"))
 
 
-def best_threshold(scores: DataFrame, keys=None, stats: DataFrame | None = None) -> DataFrame:
+def grid_thresholds(scores: DataFrame, keys=None) -> DataFrame:
+    """The distinct values of the 801-quantile grid as thresholds."""
+    keys = _k(keys)
+    return quantile_grid(scores, keys).select(*keys, F.col("value").alias("thr")).distinct()
+
+
+def best_threshold(scores: DataFrame, keys=None, stats: DataFrame | None = None,
+                   thresholds: DataFrame | None = None) -> DataFrame:
     """The lowest threshold with maximal F1; 0.5 when fewer than two
     distinct scores -> (keys, thr, f1)."""
     keys = _k(keys)
     stats = score_stats(scores, keys) if stats is None else stats
-    sw = f1_sweep(scores, keys, stats)
+    sw = f1_sweep(scores, keys, stats, thresholds)
     best = sw.groupBy(*keys).agg(F.min_by(F.struct("thr", "f1"), F.struct(-F.col("f1"), F.col("thr"))).alias("b"))
     best = best.select(*keys, F.col("b.thr").alias("thr"), F.col("b.f1").alias("f1"))
     allk = _totals(stats, keys).select(*keys)

@@ -129,15 +129,17 @@ def evaluate(scores: DataFrame, opts: Options, corpus: DataFrame | None = None)
 
 def recommend(corpus: DataFrame, rep: str, opts: Options) -> dict:
     """M14 + F8: refit the winning representation on the whole corpus, then
-    time-decayed top-K for the simulated user (seeded history)."""
+    time-decayed top-K for the simulated user (seeded history).  With
+    ``topk_use_real_time`` the corpus' ``doc_time`` decides, if it has one."""
     fitted = fit_representation(rep, corpus.select("doc_id", "text"), opts, analyses(corpus, opts))
     vec = fitted.transform(corpus.select("doc_id", "text"))
-    vec = vec.withColumn("vec", F.col("vec") if dict(vec.dtypes)["vec"].startswith("array")
-                         else F.col("vec"))
+    time_col = "doc_time" if opts.topk_use_real_time and "doc_time" in corpus.columns else None
+    if time_col:
+        vec = vec.select("doc_id", "vec").join(corpus.select("doc_id", time_col), "doc_id")
     vec = cut_lineage(vec)
     hist = R.sampled_history(vec, opts)
-    recs = R.top_k_time_aware(vec, hist, opts)
-    docs, _ = R.prepare_docs(vec, opts)
+    recs = R.top_k_time_aware(vec, hist, opts, time_col=time_col)
+    docs, _ = R.prepare_docs(vec, opts, time_col)
     payload = docs.join(corpus.select("doc_id", "text"), "doc_id")
     return {
         "recommendations_topk": R.join_payload(recs, corpus, ["text"]),

@@ -12,6 +12,9 @@ from corpusrank.plans.sql import corpus_ctes, folds_cte, md5_key, splits_cte
 from corpusrank.sources import corpus as C
 
 
+CAP = 40_000      # the option of A3, off by default
+
+
 def labelled(spark, sf):
     """(doc_id, text, label, y) - documents with a `quality` label."""
     return C.binary_target(C.load_corpus(spark, sf, TD), TD)
@@ -25,10 +28,11 @@ def corpus_scan(spark, sf):
 
 @query("corpus_cap", sql=f"""WITH {corpus_ctes()}
 SELECT doc_id, CAST(row_number() OVER (ORDER BY {md5_key('doc_id', str(TD.seed))}, doc_id) - 1 AS BIGINT) AS pos
-FROM corpus ORDER BY {md5_key('doc_id', str(TD.seed))}, doc_id LIMIT {TD.max_docs}""")
+FROM corpus ORDER BY {md5_key('doc_id', str(TD.seed))}, doc_id LIMIT {CAP}""")
 def corpus_cap(spark, sf):
-    """A3 + E7: seeded order, capped at max_docs, with the 0-based position."""
-    capped = C.cap_corpus(C.load_corpus(spark, sf, TD), TD)
+    """A3 + E7: seeded order, capped at an explicit ``max_docs``, with the
+    0-based position."""
+    capped = C.cap_corpus(C.load_corpus(spark, sf, TD), TD.replace(max_docs=CAP))
     return C.corpus_order(capped.select("doc_id"), TD)
 
 
@@ -51,7 +55,7 @@ SELECT y, CAST(count(*) AS BIGINT) AS n_c,
 FROM corpus GROUP BY y""")
 def class_weights(spark, sf):
     """Balanced weights n / (k * n_c)."""
-    return C.class_weights(labelled(spark, sf))
+    return C.class_weights(labelled(spark, sf)).withColumn("weight", F.round("weight", 6))
 
 
 @query("seeded_sample", sql=f"""

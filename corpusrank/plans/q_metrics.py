@@ -107,11 +107,20 @@ def quantile_grid(spark, sf):
 {stats_cte('evx')}, grid AS (SELECT DISTINCT variant, value AS thr FROM qv), {sweep_cte(grid='grid')}, {best_cte()}
 SELECT variant, round(thr, 12) AS thr, round(f1, 6) AS f1 FROM best""")
 def f1_sweep_grid(spark, sf):
-    """D25 on a pool with more than 800 distinct scores (quantile thresholds)."""
-    b = M.best_threshold(events_fixture(spark, sf), K)
+    """D25 over the thresholds of the 801-quantile grid, an explicit option."""
+    x = events_fixture(spark, sf)
+    b = M.best_threshold(x, K, thresholds=M.grid_thresholds(x, K))
     return b.select("variant", F.round("thr", 12).alias("thr"), *_r(["f1"]))
 
 
+@query("best_threshold_large", sql=f"""WITH {events_fixture_cte()}, {stats_cte('evx')}, {sweep_cte()}, {best_cte()}
+SELECT variant, thr, round(f1, 6) AS f1 FROM best""")
+def best_threshold_large(spark, sf):
+    """D25 over every distinct score of a pool of thousands."""
+    b = M.best_threshold(events_fixture(spark, sf), K)
+    return b.select("variant", "thr", *_r(["f1"]))
+
+
 @query("confusion", sql=f"""WITH {fixture_cte()}, {stats_cte('fx')}, {sweep_cte()}, {best_cte()}
 {confusion_select('fx', 'best')}""")
 def confusion(spark, sf):

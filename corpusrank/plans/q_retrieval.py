@@ -37,7 +37,7 @@ def _single_user(spark, sf):
 
 @query("topk_time_decay", sql=_SINGLE_USER_CTES + f""",
 ranked AS (SELECT *, cosine * time_weight AS score,
-                  row_number() OVER (ORDER BY round(cosine * time_weight, 6) DESC, doc_id) AS rk
+                  row_number() OVER (ORDER BY cosine * time_weight DESC, doc_id) AS rk
            FROM scored WHERE doc_id NOT IN (SELECT doc_id FROM hist))
 SELECT CAST(0 AS BIGINT) AS user_id, CAST(rk AS BIGINT) AS rank, doc_id, round(score, 6) AS score,
        round(cosine, 6) AS cosine, round(time_weight, 6) AS time_weight, doc_time, label
@@ -130,7 +130,7 @@ scored AS (SELECT p.user_id, u.doc_id, list_dot_product(u.v, p.q) AS cosine, t.d
            WHERE u.doc_id = t.doc_id
              AND NOT EXISTS (SELECT 1 FROM uhist h WHERE h.user_id = p.user_id AND h.doc_id = u.doc_id)),
 ranked AS (SELECT *, cosine * time_weight AS score,
-           row_number() OVER (PARTITION BY user_id ORDER BY round(cosine * time_weight, 6) DESC, doc_id) AS rk FROM scored)
+           row_number() OVER (PARTITION BY user_id ORDER BY cosine * time_weight DESC, doc_id) AS rk FROM scored)
 SELECT user_id, CAST(rk AS BIGINT) AS rank, doc_id, round(score, 6) AS score, round(cosine, 6) AS cosine,
        round(time_weight, 6) AS time_weight, doc_time FROM ranked WHERE rk <= {K}""")
 def topk_all_users(spark, sf):
@@ -148,3 +148,27 @@ def history_table(spark, sf):
     docs, _ = R.prepare_docs(vec, TD)
     payload = docs.join(emb_labels(spark, sf), "doc_id")
     return R.history_table(hist, payload, ["label"]).select("user_id", "doc_id", "doc_time", "label")
+
+
+# Fixed value: a decay that leaves documents a month apart in order though every score rounds to 0.
+THETA_SECONDS = 1e-5
+
+
+@query("topk_real_time", sql=_SINGLE_USER_CTES + f""",
+ts AS (SELECT event_id % (SELECT count(*) FROM embeddings) AS doc_id, max(epoch_us(ts)) / 1e6 AS t FROM events GROUP BY 1),
+nowr AS (SELECT max(t) AS now FROM ts),
+rs AS (SELECT s.doc_id, s.cosine, ts.t AS doc_time, exp(-{THETA_SECONDS} * greatest(nowr.now - ts.t, 0)) AS w
+       FROM scored s JOIN ts USING (doc_id), nowr WHERE s.doc_id NOT IN (SELECT doc_id FROM hist)),
+ranked AS (SELECT *, row_number() OVER (ORDER BY cosine * w DESC, doc_id) AS rk FROM rs)
+SELECT CAST(rk AS BIGINT) AS rank, doc_id, round(cosine, 6) AS cosine, round(doc_time, 3) AS doc_time FROM ranked WHERE rk <= {K}""")
+def topk_real_time(spark, sf):
+    """F1 with real times (epoch seconds of each item's newest event) and a
+    strong decay: ranks follow the unrounded score."""
+    from corpusrank.plans.common import table
+    vec = emb_vectors(spark, sf)
+    n = vec.count()
+    t = (table(spark, sf, "events").groupBy((F.col("event_id") % F.lit(n)).alias("doc_id"))
+         .agg((F.unix_micros(F.max(F.col("ts").cast("timestamp"))) / F.lit(1e6)).alias("t")))
+    o = TD.replace(topk_use_real_time=True, topk_theta=THETA_SECONDS)
+    recs = R.top_k_time_aware(vec.join(t, "doc_id"), R.sampled_history(vec, TD), o, time_col="t")
+    return recs.select("rank", "doc_id", "cosine", F.round("doc_time", 3).alias("doc_time"))

@@ -156,12 +156,13 @@ FROM {st} GROUP BY {keys}"""
 
 def sweep_cte(st: str = "st", name: str = "sw", keys: str = "variant", grid: str | None = None) -> str:
     """{name}(keys, thr, tp, fp, fn, f1) at the distinct scores (groups with
-    2..800 distinct scores) and, when ``grid`` names a (keys, thr) table, at
-    those thresholds via as-of lookup."""
+    at least 2) or, when ``grid`` names a (keys, thr) table, at those thresholds
+    via as-of lookup."""
     small = f"""SELECT {keys}, score AS thr, cum_pos AS tp, cum_neg AS fp, P FROM {st}
-                WHERE n_distinct >= 2 AND n_distinct <= 800"""
+                WHERE n_distinct >= 2"""
     parts = [small]
     if grid:
+        parts = []
         parts.append(f"""SELECT g.{keys}, g.thr,
                    coalesce((SELECT max(s.cum_pos) FROM {st} s WHERE s.{keys} = g.{keys} AND s.score >= g.thr), 0) AS tp,
                    coalesce((SELECT max(s.cum_neg) FROM {st} s WHERE s.{keys} = g.{keys} AND s.score >= g.thr), 0) AS fp,
@@ -226,12 +227,13 @@ def reliability_bin_sql(p: str, n_bins: int = 15) -> str:
 def tfidf_ctes(opts=TD) -> str:
     """tf(doc_id, term, tf), dfq(term, df, cnt), voc(term, df, cnt, idx), idf(term, idf), tfw(doc_id, term, tf, weight)."""
     toks = sql_remove_stop(sql_vector_tokens(sql_normalize("text")))
+    limit = f"ORDER BY cnt DESC, term LIMIT {opts.tfidf_max_features}" if opts.tfidf_max_features else ""
     return f"""
 docs_t AS (SELECT doc_id, {sql_bigrams('toks')} AS g FROM (SELECT doc_id, {toks} AS toks FROM documents)),
 tf AS (SELECT doc_id, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc_id, unnest(g) AS term FROM docs_t) GROUP BY doc_id, term),
 dfq AS (SELECT term, CAST(count(*) AS BIGINT) AS df, CAST(sum(tf) AS BIGINT) AS cnt FROM tf GROUP BY term),
 voc AS (SELECT term, df, cnt, CAST(row_number() OVER (ORDER BY cnt DESC, term) - 1 AS INTEGER) AS idx
-        FROM (SELECT * FROM dfq WHERE df >= {opts.tfidf_min_df} ORDER BY cnt DESC, term LIMIT {opts.tfidf_max_features})),
+        FROM (SELECT * FROM dfq WHERE df >= {opts.tfidf_min_df} {limit})),
 nd AS (SELECT count(*) AS n FROM documents),
 idf AS (SELECT term, idx, ln((CAST(n AS DOUBLE) + 1.0) / (CAST(df AS DOUBLE) + 1.0)) + 1.0 AS idf FROM voc, nd),
 tfw0 AS (SELECT doc_id, term, idx, tf, tf * idf AS w FROM tf JOIN idf USING (term)),

@@ -27,18 +27,28 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    if spark.sparkContext.master.startswith("local[") and not checkpoint_dir(spark):
+        # one process, one disk: a scratch folder is shared by construction
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpusrank-ckpt-", dir="/tmp"))
     return spark
 
 
+def checkpoint_dir(spark: SparkSession) -> str | None:
+    sc = spark.sparkContext
+    return sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the operator sets it to a shared filesystem and we use it as
-    is; only when it is unset (local tests) do we pick a scratch folder."""
+    Whoever builds the session sets it to a folder that the driver and all
+    executors share.  Unset, a local session gets a scratch folder of its own;
+    on a cluster that would be another disk on every node, so it is an error."""
     sc = spark.sparkContext
-    d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    d = checkpoint_dir(spark)
     if not d:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="corpusrank-ckpt-", dir="/tmp")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
@@ -55,10 +65,7 @@ def cut_lineage(df):
 def spread(df):
     """Give CPU-heavy per-row work (regex analysis) at least one task per core.
 
-    A large input already has many file splits and is left alone; a few big
-    row groups (small test files) are redistributed round-robin."""
-    sc = df.sparkSession.sparkContext
-    want = sc.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    A scan of many files is left alone; a few small files are redistributed
+    round-robin.  Only file names are looked at: nothing is executed."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if len(df.inputFiles()) < want else df

@@ -85,15 +85,16 @@ def corpus_order(df: DataFrame, opts: Options, id_col: str = "doc_id",
 
 
 def cap_corpus(df: DataFrame, opts: Options, id_col: str = "doc_id") -> DataFrame:
-    """A3: seeded shuffle then keep the first ``max_docs`` (a partial top-N:
-    TakeOrderedAndProject, never a global sort)."""
-    return seeded_sample(df, opts.max_docs, salt=str(opts.seed), id_col=id_col)
+    """A3: the first ``max_docs`` rows of the seeded order; 0 keeps all."""
+    return seeded_sample(df, opts.max_docs, salt=str(opts.seed), id_col=id_col) if opts.max_docs else df
 
 
 def seeded_sample(df: DataFrame, n: int, salt: str, id_col: str = "doc_id") -> DataFrame:
-    """Exact sample of ``n`` rows without replacement in hash order."""
-    return (df.withColumn("_h", hash_key(id_col, salt))
-              .orderBy("_h", id_col).limit(int(n)).drop("_h"))
+    """Exact sample of ``n`` rows without replacement in hash order.
+
+    The rank is bucketed by the hash, so neither a sort of the whole table nor
+    one task with ``n`` rows of every other is needed."""
+    return ranked_by_hash(df, id_col, salt, out="_rank").filter(F.col("_rank") <= int(n)).drop("_rank")
 
 
 def binary_target(df: DataFrame, opts: Options, label: str = "label", out: str = "y") -> DataFrame:
@@ -117,8 +118,7 @@ def class_weights(df: DataFrame, y: str = "y") -> DataFrame:
     # totals over the (one row per class) table, attached as literals
     tot = per.agg(F.sum("n_c").cast("long").alias("_n"), F.count(F.lit(1)).cast("long").alias("_k"))
     return (with_scalars(per, tot)
-               .select(F.col(y), "n_c", (F.col("_n") / (F.col("_k") * F.col("n_c"))).alias("weight"))
-               .withColumn("weight", F.round("weight", 6)))
+               .select(F.col(y), "n_c", (F.col("_n") / (F.col("_k") * F.col("n_c"))).alias("weight")))
 
 
 def with_class_weights(df: DataFrame, y: str = "y", out: str = "weight") -> DataFrame:

@@ -75,13 +75,8 @@ def _brute(y, s):
         r = tp / len(pos)
         ap += (r - prev_r) * tp / np.sum(pred)
         prev_r = r
-    best_f1, best_t = -1.0, 0.5
-    for t in np.unique(s):
-        pred = s >= t
-        tp = np.sum(pred & (y == 1)); fp = np.sum(pred & (y == 0)); fn = np.sum(~pred & (y == 1))
-        f1 = 2 * tp / (2 * tp + fp + fn) if (2 * tp + fp + fn) else 0.0
-        if f1 > best_f1:
-            best_f1, best_t = f1, float(t)
+    f1 = {t: 2 * np.sum((s >= t) & (y == 1)) / (np.sum(s >= t) + np.sum(y == 1)) for t in set(s.tolist())}
+    best_t = min(t for t in f1 if f1[t] == max(f1.values()))
     return auc, ap, best_t
 
 
