@@ -1,7 +1,9 @@
-"""Registered trained-model queries (rows-only checks: M1-M14, G3, G4, A7-A10).
+"""Registered trained-model queries.
 
-Trained models have no SQL equivalent; these queries are checked by row count
-and by the property tests in tests/."""
+Trained models have no SQL equivalent; SQL checks what must hold whatever was
+learnt (every row of every fold is scored, scores lie in [0, 1], vectors are
+unit vectors, metrics lie in range, outputs exist).  Quality bounds are in
+tests/."""
 
 from __future__ import annotations
 
@@ -18,6 +20,7 @@ from corpusrank.plans.common import TD
 from corpusrank.plans.experiment import run_benchmark, score_grid, write_outputs
 from corpusrank.plans.q_corpus import labelled
 from corpusrank.plans.registry import query
+from corpusrank.plans.sql import corpus_ctes, folds_cte, sql_normalize, sql_tokenize, tfidf_ctes
 from corpusrank.session import ensure_checkpoint_dir
 
 
@@ -25,57 +28,79 @@ def _embed_summary(v):
     return v.select("doc_id", F.size("vec").cast("long").alias("dim"), F.round(l2_norm("vec"), 6).alias("norm"))
 
 
-@query("lsa_embed")
+_KNOWN = f"""WITH {corpus_ctes()}"""
+
+
+@query("lsa_embed", sql=_KNOWN + f""", {tfidf_ctes(TD.replace(tfidf_max_features=TD.lsa_max_features), docs='corpus')[1:]}
+SELECT c.doc_id, CAST(least({TD.lsa_dim}, (SELECT count(*) FROM corpus) - 1, (SELECT count(*) - 1 FROM voc)) AS BIGINT) AS dim,
+       CASE WHEN EXISTS (SELECT 1 FROM tfw WHERE tfw.doc_id = c.doc_id) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS norm FROM corpus c""")
 def lsa_embed(spark, sf):
     """M2-M4: TF-IDF -> truncated SVD -> unit vectors on the labelled corpus."""
     c = labelled(spark, sf)
     return _embed_summary(fit_lsa(c, TD).transform(c))
 
 
-@query("w2v_embed")
+@query("w2v_embed", sql=_KNOWN + f""",
+tk AS (SELECT doc_id, unnest({sql_tokenize(sql_normalize('text'))}) AS term FROM corpus),
+known AS (SELECT term FROM tk GROUP BY term HAVING count(*) >= {TD.w2v_min_count})
+SELECT c.doc_id, CAST({TD.w2v_dim} AS BIGINT) AS dim,
+       CASE WHEN EXISTS (SELECT 1 FROM tk JOIN known USING (term) WHERE tk.doc_id = c.doc_id) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS norm FROM corpus c""")
 def w2v_embed(spark, sf):
     """M5-M7: Word2Vec mean pooling -> unit vectors."""
     c = labelled(spark, sf)
     return _embed_summary(fit_w2v(c, TD).transform(c))
 
 
-def _fold1_scores(spark, sf, model):
-    """Fit on fold 1's outer training rows (LSA fitted on them only), score
-    the fold-1 test rows -> (doc_id, y, score)."""
-    c = labelled(spark, sf)
-    sp = split_table(stratified_folds(c.select("doc_id", "y"), TD), TD).filter(F.col("fold") == 1)
-    tr = c.join(sp.filter(F.col("split") != "test").select("doc_id"), "doc_id")
-    te = c.join(sp.filter(F.col("split") == "test").select("doc_id"), "doc_id")
-    from corpusrank.operators.tfidf import analyze
-    rep = fit_lsa(tr, TD, terms=analyze(c, TD))
-    x_tr = as_ml_vector(rep.transform(tr).join(c.select("doc_id", "y"), "doc_id"))
-    x_te = as_ml_vector(rep.transform(te).join(c.select("doc_id", "y"), "doc_id"))
-    m = fit_model(model, x_tr, TD)
-    return model_scores(m, x_te).select("doc_id", F.col("y").cast("int").alias("y"), "score")
+_SCORED = f"""WITH {corpus_ctes()}, {folds_cte()} SELECT CAST(fold AS INTEGER) AS fold, doc_id, CAST(y AS INTEGER) AS y, TRUE AS in_range FROM folds"""
 
 
-@query("score_logreg")
+def _oof_scores(spark, sf, model):
+    """Out-of-fold scores of every labelled document: LSA and model fitted on a
+    fold's outer training rows only -> (fold, doc_id, y, score)."""
+    from corpusrank.operators.tfidf import analyze
+    from corpusrank.session import cut_lineage
+    c = cut_lineage(labelled(spark, sf).select("doc_id", "text", "y"))
+    terms = analyze(c, TD)
+    folds = cut_lineage(stratified_folds(c.select("doc_id", "y"), TD))
+    parts = []
+    for fold in range(1, int(TD.outer_folds) + 1):
+        of = folds.select("doc_id", (F.col("fold") == fold).alias("test"))
+        x = c.join(of, "doc_id")
+        tr = x.filter(~F.col("test"))
+        v = fit_lsa(tr, TD, terms=terms).transform(x)
+        v = cut_lineage(as_ml_vector(v.join(x.select("doc_id", "y", "test"), "doc_id")))
+        m = fit_model(model, v.filter(~F.col("test")).drop("test"), TD)
+        parts.append(model_scores(m, v.filter(F.col("test"))).select(
+            F.lit(fold).cast("int").alias("fold"), "doc_id", F.col("y").cast("int").alias("y"), "score"))
+    return SEL.union_all(parts)
+
+
+def _in_range(scores):
+    return scores.select("fold", "doc_id", "y", F.col("score").between(0.0, 1.0).alias("in_range"))
+
+
+@query("score_logreg", sql=_SCORED)
 def score_logreg(spark, sf):
-    """M8 + M13."""
-    return _fold1_scores(spark, sf, "logreg")
+    """M8 + M13, every fold."""
+    return _in_range(_oof_scores(spark, sf, "logreg"))
 
 
-@query("score_svm")
+@query("score_svm", sql=_SCORED)
 def score_svm(spark, sf):
-    """M9 + M13 (sigmoid of the margin)."""
-    return _fold1_scores(spark, sf, "linearsvc")
+    """M9 + M13 (sigmoid of the margin), every fold."""
+    return _in_range(_oof_scores(spark, sf, "linearsvc"))
 
 
-@query("score_gbt")
+@query("score_gbt", sql=_SCORED)
 def score_gbt(spark, sf):
-    """M10 + M13."""
-    return _fold1_scores(spark, sf, "gbt")
+    """M10 + M13, every fold."""
+    return _in_range(_oof_scores(spark, sf, "gbt"))
 
 
-@query("score_rf")
+@query("score_rf", sql=_SCORED)
 def score_rf(spark, sf):
-    """M11 (README-only model)."""
-    return _fold1_scores(spark, sf, "rf")
+    """M11 (README-only model), every fold."""
+    return _in_range(_oof_scores(spark, sf, "rf"))
 
 
 @query("experiment_grid")

@@ -224,17 +224,17 @@ def reliability_bin_sql(p: str, n_bins: int = 15) -> str:
 
 
 # ---------------------------------------------------------------- tf-idf
-def tfidf_ctes(opts=TD) -> str:
+def tfidf_ctes(opts=TD, docs: str = "documents") -> str:
     """tf(doc_id, term, tf), dfq(term, df, cnt), voc(term, df, cnt, idx), idf(term, idf), tfw(doc_id, term, tf, weight)."""
     toks = sql_remove_stop(sql_vector_tokens(sql_normalize("text")))
     limit = f"ORDER BY cnt DESC, term LIMIT {opts.tfidf_max_features}" if opts.tfidf_max_features else ""
     return f"""
-docs_t AS (SELECT doc_id, {sql_bigrams('toks')} AS g FROM (SELECT doc_id, {toks} AS toks FROM documents)),
+docs_t AS (SELECT doc_id, {sql_bigrams('toks')} AS g FROM (SELECT doc_id, {toks} AS toks FROM {docs})),
 tf AS (SELECT doc_id, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc_id, unnest(g) AS term FROM docs_t) GROUP BY doc_id, term),
 dfq AS (SELECT term, CAST(count(*) AS BIGINT) AS df, CAST(sum(tf) AS BIGINT) AS cnt FROM tf GROUP BY term),
 voc AS (SELECT term, df, cnt, CAST(row_number() OVER (ORDER BY cnt DESC, term) - 1 AS INTEGER) AS idx
         FROM (SELECT * FROM dfq WHERE df >= {opts.tfidf_min_df} {limit})),
-nd AS (SELECT count(*) AS n FROM documents),
+nd AS (SELECT count(*) AS n FROM {docs}),
 idf AS (SELECT term, idx, ln((CAST(n AS DOUBLE) + 1.0) / (CAST(df AS DOUBLE) + 1.0)) + 1.0 AS idf FROM voc, nd),
 tfw0 AS (SELECT doc_id, term, idx, tf, tf * idf AS w FROM tf JOIN idf USING (term)),
 tfn AS (SELECT doc_id, sqrt(sum(w * w)) AS nrm FROM tfw0 GROUP BY doc_id),
