@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusrank.llm.common import scratch_path, text_or_empty
+from corpusrank.llm.common import saved, scratch_path, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -127,7 +127,8 @@ def scan_secrets(docs: DataFrame, ledger_path: str | None = None, rules=RULES,
     spark = docs.sparkSession
     path = ledger_path or scratch_path(spark, "blob-ledger")
     update_ledger(docs, read_ledger(spark, path), rules, id_col, text_col).write.mode("append").parquet(path)
-    found = findings(spark.read.schema(LEDGER).parquet(path), rules)
+    # a written table, so that both sides of the join are plain shuffles and a hot blob is split
+    found = saved(findings(spark.read.schema(LEDGER).parquet(path), rules), "findings")
     paths = blobs(docs, id_col, text_col).drop("text")
     out = paths.join(found, "blob", "left")
     spans = F.coalesce("spans", F.lit(""))
