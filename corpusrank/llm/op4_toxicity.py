@@ -1,6 +1,6 @@
 """Toxicity by a convolutional text classifier, trained in numpy.
 
-A word is the sum of hashed embeddings: itself, its beginnings and its endings
+A word is the sum of hashed embeddings: itself, its beginnings and its ending
 (so a stem with an unseen ending is known).  Filters of several widths slide
 over the whole text, each keeps its largest response, and a logistic layer
 scores the result.
@@ -34,7 +34,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FEATURES = 8          # the word, beginnings of 3 to 6, endings of 3 and 4 letters, padding
+FEATURES = 6          # the word, four beginnings, an ending
+EDGES = ".,;:!?\"'()[]{}<>|#$%&*_-"
 
 
 @dataclass(frozen=True)
@@ -53,12 +54,20 @@ class Settings:
     min_positives: int = 10
 
 
-def word_features(word: str, buckets: int) -> list[int]:
-    """Bucket numbers of a word's parts; 0 pads."""
-    core = word.strip(".,;:!?\"'()[]{}<>|#$%&*_-") or word
-    parts = ["=" + core, *(f"<{core[:n]}" for n in (3, 4, 5, 6) if len(core) >= n), *(f"{core[-n:]}>" for n in (3, 4) if len(core) >= n)]
-    out = [1 + zlib.crc32(p.encode()) % (buckets - 1) for p in parts]
-    return out + [0] * (FEATURES - len(out))
+def word_features(words: list[str], buckets: int) -> np.ndarray:
+    """Bucket numbers of every word's parts, in UTF-8 bytes: the word, its
+    beginnings of 3 to 6 and its ending of 4; 0 pads."""
+    crc, flat = zlib.crc32, []
+    for word in words:
+        b = (word.strip(EDGES) or word).encode()
+        n = len(b)
+        three = crc(b[:3], 1)
+        four = crc(b[3:4], three)
+        five = crc(b[4:5], four)
+        flat += (crc(b, 2), three if n >= 3 else -1, four if n >= 4 else -1, five if n >= 5 else -1,
+                 crc(b[5:6], five) if n >= 6 else -1, crc(b[-4:], 3) if n >= 4 else -1)
+    parts = np.array(flat, dtype=np.int64).reshape(-1, FEATURES)
+    return np.where(parts < 0, 0, 1 + parts % (buckets - 1))
 
 
 def split_words(text: str | None) -> list[str]:
@@ -244,15 +253,10 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col: st
     share = (y.sum() + 1) / (len(y) + 2)
     if len(set(y)) < 2:
         return Model(None, 1.0, 0.0, {}, s.cut, float(share))
-    known, feats, texts = {}, [[0] * FEATURES], []
+    known, texts = {}, []
     for t in sample["text"]:
-        ws = split_words(t)
-        for w in ws:
-            if w not in known:
-                known[w] = len(feats)
-                feats.append(word_features(w, s.buckets))
-        texts.append(np.array([known[w] for w in ws], dtype=np.int64))
-    feats = np.array(feats)
+        texts.append(np.array([known.setdefault(w, len(known) + 1) for w in split_words(t)], dtype=np.int64))
+    feats = np.concatenate([np.zeros((1, FEATURES), dtype=np.int64), word_features(list(known), s.buckets)])
     back = np.array([int(p[:8], 16) % 4 == 0 for p in sample["place"]])
     if min(y[back].sum(), (1 - y[back]).sum()) < 2 or min(y[~back].sum(), (1 - y[~back]).sum()) < 1:
         back = np.ones(len(y), dtype=bool)          # too few rows: calibrate on the rows learnt from
@@ -269,7 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col: st
 class Scorer:
     """Scores texts; remembers the responses of up to ``limit`` words."""
 
-    def __init__(self, model: Model, limit: int = 100_000):
+    def __init__(self, model: Model, limit: int = 200_000):
         self.m, self.limit = model, limit
         self.clear()
 
@@ -279,7 +283,7 @@ class Scorer:
 
     def extend(self, new: list[str]):
         net = self.m.network
-        feats = np.array([word_features(w, net.s.buckets) for w in new] or np.empty((0, FEATURES)), dtype=np.int64)
+        feats = word_features(new, net.s.buckets)
         if self.table is None:
             self.table, self.used = net.responses(np.zeros((1, FEATURES), dtype=np.int64)), 1
         need = self.used + len(new)
