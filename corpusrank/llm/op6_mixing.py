@@ -81,6 +81,8 @@ def repeated(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataF
     """``docs`` in the proportions of ``mixed``: every document once per whole
     repetition, and once more when at least half of it lies in the fractional
     one.  Keeps the columns of ``docs``; repeated rows of an id share a count."""
-    n = mixed.groupBy(id_col).agg(F.max(F.expr("if(size > 0, int(floor(taken / size + 0.5D)), 0)")).alias("_copies"))
-    return (docs.join(n, docs[id_col].eqNullSafe(n[id_col])).drop(n[id_col])
-            .withColumn("_copy", F.explode(F.expr("sequence(0, _copies)"))).where("_copy > 0").drop("_copy", "_copies"))
+    copies = F.expr("if(size > 0, int(floor(taken / size + 0.5D)), 0)")
+    n = mixed.select(F.col(id_col).alias("id"), copies.alias("copies")).groupBy("id").agg(F.max("copies").alias("copies"))
+    d = docs.select(F.struct(*docs.columns).alias("d"))       # extra columns can't clash with ours
+    return (d.join(saved(n.where("copies > 0"), "copies"), F.col(f"d.{id_col}").eqNullSafe(F.col("id")))
+            .select("d", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("d.*"))
