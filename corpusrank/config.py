@@ -43,9 +43,10 @@ class Options:
     w2v_partitions: int = 4          # part of the result, so not taken from the cluster
 
     # models
-    logreg_max_iter: int = 100
-    svm_max_iter: int = 50
-    gbt_max_iter: int = 20
+    # Iteration limits and boosting rounds of the reference's models
+    logreg_max_iter: int = 3000
+    svm_max_iter: int = 1000
+    gbt_max_iter: int = 200
 
     # overfit rule
     enable_overfit_flag: bool = True

@@ -10,7 +10,9 @@ from corpusrank.operators.retrieval import unit_vectors
 from corpusrank.sources.corpus import read_table
 
 # The given tables carry the target in `labels.quality` (0/1); class 1 is positive.
-TD = Options(label_col="quality", pos_class=1)
+# Boosting rounds and SVM iterations are fewer than the defaults: the given tables have some
+# hundred labels, and each round is a job of its own.
+TD = Options(label_col="quality", pos_class=1, gbt_max_iter=20, svm_max_iter=50)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
