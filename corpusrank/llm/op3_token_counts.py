@@ -67,13 +67,13 @@ def under_limits(hist: DataFrame, limits: list[int]) -> DataFrame:
     first length above a limit holds its suffix sums."""
     spark = hist.sparkSession
     at = spark.createDataFrame([(int(x),) for x in limits], "limit long")
-    total = hist.agg(F.max("total_tokens").alias("all_tokens"))
+    total = hist.agg(F.max("total_tokens")).first()[0] or 0
     above = (at.join(hist, hist["length"] > at["limit"]).groupBy("limit")
              .agg(F.max("docs_at_least").alias("docs_over"), F.max("tokens_at_least").alias("tokens_over")))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return (at.join(above, "limit", "left").join(F.broadcast(total))  # one row
+    return (at.join(above, "limit", "left")
             .select("limit", zero("docs_over").alias("docs_over"),
-                    (F.col("all_tokens") - zero("tokens_over") + F.col("limit") * zero("docs_over")).alias("truncated_tokens")))
+                    (F.lit(total) - zero("tokens_over") + F.col("limit") * zero("docs_over")).alias("truncated_tokens")))
 
 
 def quantiles(hist: DataFrame, shares: list[float]) -> DataFrame:

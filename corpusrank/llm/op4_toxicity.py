@@ -105,7 +105,9 @@ class Network:
             for j in range(width):
                 col = self.taps.index((w, j)) * s.filters
                 total = total + table[words[j: j + n], col: col + s.filters]
-            out.append(np.maximum.reduceat(total, starts, axis=0))
+            # only windows that lie in one text and its padding
+            ends = np.append(starts[1:], len(words)) - width + 1
+            out.append(np.maximum.reduceat(total, np.column_stack([starts, ends]).ravel()[:-1], axis=0)[::2])
         return np.maximum(np.concatenate(out, axis=1) + self.p["b"], 0)
 
     def logits(self, table, words, starts) -> np.ndarray:
@@ -123,7 +125,7 @@ class Network:
             for j in range(width):
                 col = self.taps.index((w, j)) * s.filters
                 total = total + table[inv[j: j + n], col: col + s.filters]
-            at = np.stack([a + total[a: min(b, n)].argmax(axis=0) for a, b in zip(starts, ends)])
+            at = np.stack([a + total[a: b - width + 1].argmax(axis=0) for a, b in zip(starts, ends)])
             best.append(np.take_along_axis(total, at, axis=0))
             where.append(at)
         h = np.concatenate(best, axis=1) + p["b"]
@@ -275,7 +277,8 @@ class Scorer:
 
     def __init__(self, model: Model, limit: int = 200_000):
         self.m, self.limit = model, limit
-        self.clear()
+        if model.network is not None:
+            self.clear()
 
     def clear(self):
         self.known, self.table = {}, None
