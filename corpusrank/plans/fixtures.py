@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from corpusrank.functions.vectors import dot, l2_norm
 from corpusrank.plans.common import table
+from corpusrank.session import cut_lineage
 
 
 def score_fixture(spark, sf) -> DataFrame:
@@ -54,5 +55,6 @@ def experiment_fixture(spark, sf, opts=None) -> DataFrame:
                                                 (F.col("label") == 0).cast("int").alias("y"))
     splits = split_table(stratified_folds(emb, opts), opts)
     fx = score_fixture(spark, sf).select(F.col("variant").alias("model"), "doc_id", "score")
-    return (splits.join(fx, "doc_id")
+    # read by every checkpoint of the metric chain: materialised once
+    return cut_lineage(splits.join(fx, "doc_id")
                   .select("fold", F.lit("centroid").alias("rep"), "model", "split", "doc_id", "y", "score"))

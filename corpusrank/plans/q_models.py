@@ -16,12 +16,16 @@ from corpusrank.operators import selection as SEL
 from corpusrank.operators.embed import as_ml_vector, fit_lsa, fit_w2v
 from corpusrank.operators.models import fit_model, model_scores
 from corpusrank.operators.splits import split_table, stratified_folds
-from corpusrank.plans.common import TD
-from corpusrank.plans.experiment import run_benchmark, score_grid, write_outputs
+from corpusrank.operators import retrieval as R
+from corpusrank.plans.common import TD, emb_vectors
+from corpusrank.plans.experiment import evaluate, score_grid, write_outputs
+from corpusrank.plans.fixtures import experiment_fixture
 from corpusrank.plans.q_corpus import labelled
 from corpusrank.plans.registry import query
 from corpusrank.plans.sql import corpus_ctes, folds_cte, sql_normalize, sql_tokenize, tfidf_ctes
-from corpusrank.session import ensure_checkpoint_dir
+from corpusrank.session import cut_lineage, ensure_checkpoint_dir
+from corpusrank.sources import results as RS
+from corpusrank.sources.results import EXPECTED_OUTPUTS
 
 
 def _embed_summary(v):
@@ -103,21 +107,43 @@ def score_rf(spark, sf):
     return _in_range(_oof_scores(spark, sf, "rf"))
 
 
-@query("experiment_grid")
-def experiment_grid(spark, sf):
-    """G4-G6 end to end: nested CV over the (rep, model) grid on
-    documents x labels -> the 24-column fold-result table."""
-    scores = score_grid(labelled(spark, sf), TD)
-    return SEL.fold_results(scores, TD)
+_GRID = sorted((r, m) for r in TD.reps for m in TD.models if not r.startswith("w2v") or m == TD.w2v_only_for_model)
+_GRID_SQL = ", ".join(f"(CAST({f} AS INTEGER), '{r}', '{m}', TRUE)" for f in range(1, TD.outer_folds + 1) for r, m in _GRID)
 
 
-@query("results_inventory")
+@query("experiment_grid", sql=f"SELECT * FROM (VALUES {_GRID_SQL}) t(fold, rep, model, in_range)")
+def experiment_grid(spark, sf):
+    """G4-G6 end to end: nested CV over the (rep, model) grid on documents x
+    labels; each of the fold results' metrics lies in its range."""
+    res = SEL.fold_results(score_grid(labelled(spark, sf), TD), TD)
+    ok = F.col("thr_from_val").between(0.0, 1.0)
+    for split in SEL.SPLITS:
+        for m in SEL.FOLD_METRICS:
+            low = -1.0 if m == "mcc" else 0.0
+            ok = ok & F.coalesce(F.col(f"{split}_{m}").between(low, 1.0), F.lit(m == "roc_auc"))   # null with one class
+    return res.select(F.col("fold").cast("int").alias("fold"), "rep", "model", ok.alias("in_range"))
+
+
+@query("results_inventory", sql="SELECT * FROM (VALUES "
+       + ", ".join(f"('{n}', TRUE)" for n in EXPECTED_OUTPUTS) + ") t(name, present)")
 def results_inventory(spark, sf):
-    """Entry 1 + A7-A10: run the experiment, write every output, list them."""
-    from corpusrank.sources import results as RS
+    """Evaluate the experiment fixture, write every output of a run,
+    list them; a missing one is an error."""
     # a fresh folder under the shared checkpoint location (works for any
     # Hadoop filesystem, not only a local one)
     out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/results-{uuid.uuid4().hex}"
-    res = run_benchmark(labelled(spark, sf), TD)
+    res = evaluate(cut_lineage(experiment_fixture(spark, sf)), TD)
+    vec = emb_vectors(spark, sf)
+    hist = R.sampled_history(vec, TD)
+    docs, _ = R.prepare_docs(vec, TD)
+    res.tables.update({
+        "recommendations_topk": R.top_k_time_aware(vec, hist, TD),
+        "recommendations_history_idx": hist.groupBy("user_id").agg(F.array_sort(F.collect_list("doc_id")).alias("history_idx")),
+        "history_read_only": R.history_table(hist, docs, []),
+    })
     write_outputs(res, TD, out)
-    return RS.inventory(spark, out)
+    found = cut_lineage(RS.inventory(spark, out).select("name", "present"))
+    missing = [r["name"] for r in found.where("NOT present").collect()]     # at most the expected names
+    if missing:
+        raise ValueError(f"outputs not written: {missing}")
+    return found
