@@ -8,12 +8,31 @@ from pyspark.sql import functions as F
 from corpusrank.llm.common import saved
 
 
-def _stars(pairs: DataFrame) -> DataFrame:
+SMALL = 500_000
+
+
+def _stars(pairs: DataFrame, n: int) -> DataFrame:
     """Every pair with the smallest of its first node and that node's neighbours.
-    The minima are a written table, so both sides of the join are plain
-    shuffles and a node with very many neighbours is split."""
-    low = saved(pairs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "stars")
-    return pairs.join(low, "a")
+    Up to ``SMALL`` links the minima are broadcast; beyond that they are a
+    written table, so both sides of the join are plain shuffles and a node with
+    very many neighbours is split."""
+    low = pairs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    return pairs.join(F.broadcast(low) if n <= SMALL else saved(low, "stars"), "a")
+
+
+def roots(parents: DataFrame) -> DataFrame:
+    """``(id, component)`` of ``parents(id, parent)``, one smaller parent an id:
+    every id jumps to its parent's parent until nothing changes."""
+    p = parents
+    while True:
+        up = p.select(F.col("id").alias("parent"), F.col("parent").alias("next"))
+        new = saved(p.join(up, "parent", "left").select("id", F.coalesce("next", "parent").alias("parent"),
+                                                        F.col("next").isNotNull().alias("moved")), "parents")
+        p = new.drop("moved")
+        if new.where("moved").isEmpty():
+            break
+    members = p.select("id", F.col("parent").alias("component"))
+    return members.unionByName(members.select(F.col("component").alias("id"), "component").distinct())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -26,17 +45,17 @@ def components(links: DataFrame) -> DataFrame:
     sort-merge join whose hot nodes Spark splits; the number of rounds grows
     with the logarithm of the longest chain."""
     up = saved(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    before = None
-    while True:
+    before, n = None, up.count()
+    while n:
         both = up.unionByName(up.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _stars(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        s = _stars(large)
+        large = _stars(both, n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        s = _stars(large, n)
         small = (s.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(s.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
         up = saved(small, "links")
         state = up.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b") % 1000003)).first()
-        if state == before or state[0] == 0:
+        if state == before:
             break
-        before = state
+        before, n = state, state[0]
     members = up.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return members.unionByName(members.select(F.col("component").alias("id"), "component").distinct())

@@ -4,14 +4,16 @@ Every two items that share a key are candidates.  Verifying all of them would
 square a large group, so the work follows the groups as they form:
 
 1. every item is verified against the smallest item it shares a key with;
-2. within each key, every group formed so far is represented by its smallest
-   member there, and verified against the first group of the key; repeated
-   ``rounds`` times;
-3. items of one key that are still in different groups are compared in full.
-
-Step 3 leaves no candidate pair between two groups unverified, so the groups
-equal those of verifying every candidate pair.  Keys whose members are all in
-one group cost nothing there.
+2. keys whose members are by then all in one group are done.  For the members
+   of the others, ``refine`` may add columns that bound a pair's similarity
+   from above; items that can't reach any partner leave;
+3. within each key, the best member of every group is verified against the best
+   member of the key (``order``);
+4. items of one key that are still in different groups are compared in full,
+   as far as the bound allows.
+
+Step 4 leaves no candidate pair between two groups unverified unless the bound
+excludes it, so the groups equal those of verifying every candidate pair.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusrank.llm.common import saved
-from corpusrank.llm.graph import components
+from corpusrank.llm.graph import components, roots
 
 
 def _grouped(members: DataFrame, comp: DataFrame) -> DataFrame:
@@ -34,45 +36,78 @@ def _grouped(members: DataFrame, comp: DataFrame) -> DataFrame:
     return m.join(saved(mixed, "mixed-keys"), "key")
 
 
-def _smallest(keys: list[str], attrs: list[str]) -> Callable[[DataFrame], DataFrame]:
-    """The item with the smallest id of each group, as ``lead_...`` columns."""
-    return lambda df: df.groupBy(*keys).agg(F.min("id").alias("lead_id"), F.max("id").alias("_last"),
-                                            *[F.min_by(c, "id").alias(f"lead_{c}") for c in attrs])
+def _with(df: DataFrame, items: DataFrame, attrs: list[str], id_col: str = "id", prefix: str = "") -> DataFrame:
+    """``df`` with the attributes of the item that ``id_col`` names."""
+    own = items.select(F.col("id").alias(id_col), *[F.col(c).alias(f"{prefix}{c}") for c in attrs])
+    return df.join(own, id_col)
+
 
+def _joined(links: DataFrame, comp: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links and groups after ``more`` links, which join groups: only the groups
+    are followed, not their members."""
+    if more.isEmpty():
+        return links, comp
+    of = comp.select(F.col("id").alias("_i"), F.col("component").alias("_c"))
+    edge = more
+    for end in ("a", "b"):
+        edge = (edge.join(of, edge[end] == of["_i"], "left").withColumn(end, F.coalesce("_c", end)).drop("_i", "_c"))
+    merged = saved(components(edge.distinct()), "merged")
+    known = comp.unionByName(merged.select("id", F.col("id").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
+    new = merged.select(F.col("id").alias("component"), F.col("component").alias("_to"))
+    out = known.join(new, "component", "left").select("id", F.coalesce("_to", "component").alias("component"))
+    return links.unionByName(more), saved(out, "components")
 
-def link(keyed: DataFrame, attrs: list[str], compatible: Callable[[str, str], Column],
-         verify: Callable[[DataFrame], DataFrame], rounds: int = 1) -> tuple[DataFrame, DataFrame]:
-    """``(components, links)`` of ``keyed(key, id, *attrs)``.
+
+def link(keyed: DataFrame, items: DataFrame, attrs: list[str], compatible: Callable[[str, str], Column],
+         verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame] | None = None,
+         refined: list[str] = (), bound: Callable[[str, str], Column] | None = None,
+         viable: Column | None = None, order: str = "id", once: Callable[[str, str], Column] | None = None,
+         once_attrs: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """``(components, links)`` of ``keyed(key, id)``; ``items(id, *attrs)`` has
+    each id once.
 
     ``compatible(x, y)`` is a cheap necessary condition, given the prefixes of
     two items' attribute columns; ``verify`` gets pairs ``(a, b)`` and returns
-    those that hold."""
+    those that hold.  ``refine`` maps ``(id)`` to ``(id, *refined)``, on which
+    ``bound(x, y)`` and ``viable`` are further necessary conditions and
+    ``order`` (an expression, small first) chooses the best member.  ``once``,
+    over ``key`` and the items' ``once_attrs``, holds for one shared key of a
+    pair, so that step 4 makes a pair once and not for each key it shares."""
     pair = [F.least("id", "lead_id").alias("a"), F.greatest("id", "lead_id").alias("b")]
     # written tables on both sides keep the joins splittable where a key is hot
-    lead = saved(_smallest(["key"], attrs)(keyed).where("lead_id <> _last").drop("_last"), "leads")
-    members = saved(keyed.join(lead, "key"), "members")
-    first = members.where((F.col("id") != F.col("lead_id")) & compatible("", "lead_")).groupBy("id").agg(F.min("lead_id").alias("lead_id"))
+    lead = saved(keyed.groupBy("key").agg(F.min("id").alias("lead_id"), F.max("id").alias("_last"))
+                 .where("lead_id <> _last").drop("_last"), "leads")
+    members = saved(_with(keyed.join(lead, "key"), items, attrs), "members")
+    first = _with(members.where("id <> lead_id").select("id", "lead_id", *attrs).distinct(), items, attrs, "lead_id", "lead_")
+    first = first.where(compatible("", "lead_")).groupBy("id").agg(F.min("lead_id").alias("lead_id"))
     links = saved(verify(first.select(*pair)), "verified")
-    comp = saved(components(links), "components")
-    members = members.select("key", "id", *attrs)
-    for _ in range(rounds):
-        m = _grouped(members, comp)
-        heads = _smallest(["key"], attrs)(m.where("component = first")).drop("_last")
-        reps = _smallest(["key", "component"], attrs)(m.where("component <> first")).select(
-            "key", F.col("lead_id").alias("id"), *[F.col(f"lead_{c}").alias(c) for c in attrs])
-        tried = reps.join(heads, "key").where(compatible("", "lead_")).select(*pair).distinct()
-        more = saved(verify(tried), "verified")
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-        comp = saved(components(links), "components")
-    m = saved(_grouped(members, comp).drop("first"), "mixed")
+    comp = saved(roots(links.select(F.col("b").alias("id"), F.col("a").alias("parent"))), "components")
+    members = saved(_grouped(members.select("key", "id", *attrs), comp).drop("first"), "mixed")
+    if members.isEmpty():
+        return comp, links
+    if refine is not None:
+        extra = saved(refine(members.select("id").distinct()), "refined")
+        members = members.join(extra, "id")
+        members = saved(members.where(viable) if viable is not None else members, "viable")
+    attrs = [*attrs, *refined]
+    fits = compatible if bound is None else lambda x, y: compatible(x, y) & bound(x, y)
+
+    m = _grouped(members.drop("component"), comp)
+    best = F.min(F.struct(F.expr(order).alias("_order"), "id", *attrs))
+    reps = saved(m.groupBy("key", "component").agg(best.alias("me"))
+                 .select("key", "component", *[F.col(f"me.{c}").alias(c) for c in ("_order", "id", *attrs)]), "reps")
+    heads = saved(reps.groupBy("key").agg(F.min(F.struct("_order", "id", "component", *attrs)).alias("head"))
+                  .select("key", *[F.col(f"head.{c}").alias(f"lead_{c}") for c in ("component", "id", *attrs)]), "heads")
+    tried = (reps.join(heads, "key").where((F.col("component") != F.col("lead_component")) & fits("", "lead_"))
+             .select(*pair).distinct())
+    links, comp = _joined(links, comp, saved(verify(tried), "verified"))
+    m = saved(_with(_grouped(members.drop("component"), comp).drop("first"), items, list(once_attrs)), "mixed")
+    attrs = [*attrs, *once_attrs]
     x = m.select("key", *[F.col(c).alias(f"x_{c}") for c in ("component", "id", *attrs)])
     y = m.select("key", *[F.col(c).alias(f"y_{c}") for c in ("component", "id", *attrs)])
-    cross = (x.join(y, (x["key"] == y["key"]) & (x["x_component"] < y["y_component"]) & compatible("x_", "y_"))
+    same = (x["key"] == y["key"]) & (x["x_component"] < y["y_component"])
+    if once is not None:
+        same = same & once(x["key"], "x_", "y_")
+    cross = (x.join(y, same & fits("x_", "y_"))
              .select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct())
-    more = saved(verify(cross), "verified")
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        comp = components(links)
-    return comp, links
+    return tuple(reversed(_joined(links, comp, saved(verify(cross), "verified"))))
