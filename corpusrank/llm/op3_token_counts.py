@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusrank.llm.common import saved
 from corpusrank.llm.tokens import default_path, encode
 
 
@@ -41,7 +42,8 @@ def histogram(docs: DataFrame, text_col: str = "text", path: str | None = None,
     ``docs_at_least, tokens_at_least`` (suffix sums), ``docs_at_most``,
     ``total_docs, total_tokens``, and ``truncated_tokens``, what remains of all
     tokens under a context limit of ``length``."""
-    own = (lengths(docs, text_col, path).groupBy("length").agg(F.count(F.lit(1)).alias("n_docs"))
+    # one row per length, written once: the texts are not encoded again for each use
+    own = (saved(lengths(docs, text_col, path).groupBy("length").agg(F.count(F.lit(1)).alias("n_docs")), "lengths")
            .withColumn("n_tokens", F.col("length") * F.col("n_docs"))
            .withColumn("block", F.expr(f"length div {block}")))
     up = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
