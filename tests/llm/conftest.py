@@ -18,3 +18,12 @@ def edge(spark):
 @pytest.fixture(scope="session")
 def empty(edge):
     return edge.limit(0)
+
+
+@pytest.fixture(scope="package", autouse=True)
+def few_partitions(spark):
+    """The tables here are tiny and the operators run many small jobs."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
