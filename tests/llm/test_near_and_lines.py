@@ -125,8 +125,8 @@ def brute_lines(rows, simhash, min_words=3, radius=2, similarity=0.9):
 
 def line_rows(seed=3):
     rng = random.Random(seed)
-    vocabulary = [f"{a}{b}" for a in ("ka", "lo", "mi", "ne", "ru") for b in ("ta", "so", "vi", "pe")]
-    base = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(3, 90))) for _ in range(40)]
+    vocabulary = [f"w{k}" for k in range(600)]
+    base = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(3, 30))) for _ in range(30)]
     docs = []
     for i in range(60):
         ls = []
@@ -134,7 +134,8 @@ def line_rows(seed=3):
             x = rng.choice(base)
             if rng.random() < 0.5:
                 w = x.split()
-                w[rng.randrange(len(w))] = rng.choice(vocabulary)
+                k = rng.randrange(len(w))
+                w.insert(k, w[k] if rng.random() < 0.7 else rng.choice(vocabulary))
                 x = " ".join(w)
             ls.append(x.upper() + "!" if rng.random() < 0.2 else x)
         docs.append((i, "\n".join(ls)))
