@@ -7,9 +7,11 @@ scores the result.
 
 Training uses a bounded, documented sample of labelled documents, in hash order
 (``max_per_class`` documents a class, ``max_bytes`` of text), whole texts, on
-the driver.  A quarter of the sample is held back: it sets the scale of the
-score, puts the best cut at 0.7, and gives each language with enough positives
-a threshold of its own.  Labels, language, source and id are never inputs of a
+the driver.  A quarter of the sample is not learnt from.  All labelled documents
+that were neither learnt from nor held out are then scored in Spark tasks; their
+histogram by language, logit bin and label, each class weighted to its full
+number, sets the scale of the score, puts the best cut at 0.7, and gives each
+language with enough positives a threshold of its own.  Labels, language, source and id are never inputs of a
 score; the language only picks the threshold of the separate ``rejected``
 column.
 
@@ -34,7 +36,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusrank.llm.common import sized
+
 FEATURES = 6          # the word, four beginnings, an ending
+BINS = 64             # bins of one logit
 EDGES = ".,;:!?\"'()[]{}<>|#$%&*_-"
 
 
@@ -189,47 +194,75 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -30, 30)))
 
 
-def _cut(z: np.ndarray, y: np.ndarray) -> float:
-    """The cut with the best F1 on logits, halfway to the next lower one."""
-    order = np.argsort(-z, kind="stable")
-    z, y = z[order], y[order]
-    tp = np.cumsum(y)
-    f1 = 2 * tp / (np.arange(1, len(y) + 1) + y.sum())
+def _cut(z: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> float:
+    """The cut with the best F1 over distinct logits with their (weighted) numbers
+    of positives and negatives, halfway to the next lower one."""
+    u, inv = np.unique(-z, return_inverse=True)
+    z, pos, neg = -u, np.bincount(inv, pos), np.bincount(inv, neg)
+    f1 = 2 * np.cumsum(pos) / (np.cumsum(pos + neg) + pos.sum())
     i = int(f1.argmax())
     return float((z[i] + z[i + 1]) / 2) if i + 1 < len(z) else float(z[i] - 1)
 
 
-def calibrate(network: Network, z: np.ndarray, y: np.ndarray, lang: np.ndarray, s: Settings) -> Model:
-    """Scale from a smoothed logistic fit; the best cut becomes ``s.cut``."""
-    n1, n0 = y.sum(), (1 - y).sum()
+def calibrate(network: Network, hist: pd.DataFrame, s: Settings) -> Model:
+    """Scale from a smoothed logistic fit; the best cut becomes ``s.cut``.
+    ``hist`` has ``(lang, z, y, n, w)``, ``n`` rows that stand for ``w``."""
+    z, y, n, w8 = (hist[c].to_numpy(dtype=float) for c in ("z", "y", "n", "w"))
+    n1, n0 = w8[y == 1].sum(), w8[y == 0].sum()
     goal = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     a, b = 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        w = np.maximum(p * (1 - p), 1e-6)
-        g = np.array([((p - goal) * z).sum(), (p - goal).sum()])
+        w = w8 * np.maximum(p * (1 - p), 1e-6)
+        d = w8 * (p - goal)
+        g = np.array([(d * z).sum(), d.sum()])
         h = np.array([[(w * z * z).sum() + 1e-3, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-3]])
         a, b = np.array([a, b]) - np.linalg.solve(h, g)
     a = min(max(float(a), 0.05), 5.0)
-    shift = float(np.log(s.cut / (1 - s.cut)) - a * _cut(z, y))
+    shift = float(np.log(s.cut / (1 - s.cut)) - a * _cut(z, w8 * y, w8 * (1 - y)))
     model = Model(network, a, shift, {}, s.cut)
-    for name in sorted({x for x in lang if x is not None}):
-        own = lang == name
-        if y[own].sum() >= s.min_positives and (1 - y[own]).sum() >= s.min_positives:
-            model.thresholds[name] = float(model.score(np.array([_cut(z[own], y[own])]))[0])
+    for name, own in hist.groupby("lang").indices.items():
+        yes = y[own] == 1
+        if n[own][yes].sum() >= s.min_positives and n[own][~yes].sum() >= s.min_positives:
+            cut = _cut(z[own], w8[own] * y[own], w8[own] * (1 - y[own]))
+            model.thresholds[name] = float(model.score(np.array([cut]))[0])
     return model
 
 
+def label_histogram(docs: DataFrame, truth: DataFrame, network: Network, s: Settings, id_col: str) -> pd.DataFrame:
+    """``(lang, z, y, n)``: documents of ``truth(id, y)`` by language, logit bin
+    and label; an id counts once."""
+    shared = docs.sparkSession.sparkContext.broadcast(Model(network, 1.0, 0.0, {}, s.cut))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(shared.value)
+        for pdf in batches:
+            z = np.clip(scorer.logits(list(pdf["text"])), -60, 60)
+            yield pd.DataFrame({"id": pdf["id"], "lang": pdf["lang"], "y": pdf["y"], "bin": np.floor(z * BINS).astype(np.int64)})
+
+    text = docs.select(F.col(id_col).cast("long").alias("id"), "text", "lang")
+    scored = text.join(sized(truth), "id").select("id", "text", "lang", "y").mapInPandas(run, "id long, lang string, y int, bin long")
+    one = scored.groupBy("id").agg(F.min(F.struct("bin", "lang", "y")).alias("d"))
+    hist = one.groupBy("d.lang", "d.bin", "d.y").agg(F.count(F.lit(1)).alias("n")).toPandas()     # at most 7,681 bins a language and label
+    hist["z"] = (hist.pop("bin") + 0.5) / BINS
+    return hist.sort_values(["lang", "z", "y"], kind="stable").reset_index(drop=True)
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows that are never learnt from."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def known_labels(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """``(id, y)`` of the labelled ids that may be learnt from."""
+    return (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
+            .groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y")))
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, s: Settings, id_col: str, label_col: str) -> pd.DataFrame:
     """At most ``max_per_class`` labelled rows a class, in hash order, while
     their texts fit ``max_bytes``; null labels and held-out ids are left out."""
-    y = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-         .groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y")))
+    y = known_labels(labels, id_col, label_col)
     size = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.octet_length("text").alias("n"))
     place = F.md5(F.concat(F.lit(f"{s.seed}:"), F.col("id").cast("string")))
     pool = y.join(size.groupBy("id").agg(F.max("n").alias("n")), "id").withColumn("place", place)
@@ -242,10 +275,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, s: Settings, id_col: str
                 break
             ids.append((r["id"], value, r["place"]))
     if not ids:
-        return pd.DataFrame({"y": [], "lang": [], "text": [], "place": []})
+        return pd.DataFrame({"id": [], "y": [], "lang": [], "text": [], "place": []})
     chosen = docs.sparkSession.createDataFrame(ids, "id long, y int, place string")
     text = docs.select(F.col(id_col).cast("long").alias("id"), "text", "lang")
-    got = text.join(F.broadcast(chosen), "id").select("y", "lang", "text", "place")   # 2 * max_per_class rows
+    got = text.join(F.broadcast(chosen), "id").select("id", "y", "lang", "text", "place")   # 2 * max_per_class rows
     return got.toPandas().sort_values(["place", "y"], kind="stable").drop_duplicates("place").reset_index(drop=True)
 
 
@@ -259,17 +292,22 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col: st
     for t in sample["text"]:
         texts.append(np.array([known.setdefault(w, len(known) + 1) for w in split_words(t)], dtype=np.int64))
     feats = np.concatenate([np.zeros((1, FEATURES), dtype=np.int64), word_features(list(known), s.buckets)])
-    back = np.array([int(p[:8], 16) % 4 == 0 for p in sample["place"]])
-    if min(y[back].sum(), (1 - y[back]).sum()) < 2 or min(y[~back].sum(), (1 - y[~back]).sum()) < 1:
-        back = np.ones(len(y), dtype=bool)          # too few rows: calibrate on the rows learnt from
-        learn = back
-    else:
-        learn = ~back
+    learn = np.array([int(p[:8], 16) % 4 != 0 for p in sample["place"]])
+    if min(y[~learn].sum(), (1 - y[~learn]).sum()) < 2 or min(y[learn].sum(), (1 - y[learn]).sum()) < 1:
+        learn = np.ones(len(y), dtype=bool)
     net = Network(s)
     net.train(feats, [t for t, k in zip(texts, learn) if k], y[learn])
-    table = net.responses(feats)
-    words, starts = joined([t for t, k in zip(texts, back) if k], max(s.widths))
-    return calibrate(net, net.logits(table, words, starts), y[back], sample["lang"].to_numpy()[back], s)
+    learnt = docs.sparkSession.createDataFrame([(int(i),) for i in sample["id"][learn]], "id long")     # 2 * max_per_class rows
+    rest = known_labels(labels, id_col, label_col).join(F.broadcast(learnt), "id", "left_anti")
+    hist = label_histogram(docs, rest, net, s, id_col)
+    unseen = [hist["n"][hist["y"] == c].sum() for c in (0, 1)]
+    if min(unseen) < 2:                             # too few rows: calibrate on the rows learnt from
+        words, starts = joined([t for t, k in zip(texts, learn) if k], max(s.widths))
+        z = net.logits(net.responses(feats), words, starts)
+        return calibrate(net, pd.DataFrame({"lang": sample["lang"][learn], "z": z, "y": y[learn], "n": 1, "w": 1.0}).reset_index(drop=True), s)
+    # the rows learnt from are a hash sample of their class: the others stand for them
+    whole = [(unseen[c] + (y[learn] == c).sum()) / unseen[c] for c in (0, 1)]
+    return calibrate(net, hist.assign(w=hist["n"] * np.where(hist["y"] == 1, whole[1], whole[0])), s)
 
 
 class Scorer:
@@ -302,6 +340,9 @@ class Scorer:
     def scores(self, texts: list, chunk_words: int = 200_000) -> np.ndarray:
         if self.m.network is None:
             return np.full(len(texts), self.m.constant)
+        return self.m.score(self.logits(texts, chunk_words))
+
+    def logits(self, texts: list, chunk_words: int = 200_000) -> np.ndarray:
         out, group, n = [], [], 0
         for t in texts:
             ws = split_words(t)
@@ -322,7 +363,7 @@ class Scorer:
         get = self.known.__getitem__
         rows = [np.fromiter(map(get, ws), dtype=np.int64, count=len(ws)) for ws in group]
         words, starts = joined(rows, max(self.m.network.s.widths))
-        return self.m.score(self.m.network.logits(self.table, words, starts))
+        return self.m.network.logits(self.table, words, starts)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
