@@ -24,7 +24,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near-equal lines one occurrence stays; a document that
     has lost all its lines goes.  `n_chars` follows the text."""
-    out = op10_line_dedup.apply(docs)
+    out = op10_line_dedup.apply(docs, **op10_line_dedup.WHOLE)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.length("text").cast(kind))

@@ -14,7 +14,7 @@ from corpusrank.llm.op6_mixing import mix
 from corpusrank.llm.op7_minhash import near_dedup
 from corpusrank.llm.op8_quality import quality
 from corpusrank.llm.op9_packing import pack
-from corpusrank.llm.op10_line_dedup import per_document
+from corpusrank.llm.op10_line_dedup import WHOLE, per_document
 
 
 def op1_exact_dedup(spark, sf_dir):
@@ -55,7 +55,7 @@ def op9_packing(spark, sf_dir):
 
 
 def op10_line_dedup(spark, sf_dir):
-    return per_document(read(spark, sf_dir, "documents"))
+    return per_document(read(spark, sf_dir, "documents"), **WHOLE)
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_token_counts, op4_toxicity, op5_secrets, op6_mixing,
