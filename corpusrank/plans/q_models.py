@@ -18,7 +18,7 @@ from corpusrank.operators.models import fit_model, model_scores
 from corpusrank.operators.splits import split_table, stratified_folds
 from corpusrank.operators import retrieval as R
 from corpusrank.plans.common import TD, emb_vectors
-from corpusrank.plans.experiment import evaluate, score_grid, write_outputs
+from corpusrank.plans.experiment import evaluate, run_benchmark, score_grid, write_outputs
 from corpusrank.plans.fixtures import experiment_fixture
 from corpusrank.plans.q_corpus import labelled
 from corpusrank.plans.registry import query
@@ -124,14 +124,32 @@ def experiment_grid(spark, sf):
     return res.select(F.col("fold").cast("int").alias("fold"), "rep", "model", ok.alias("in_range"))
 
 
-@query("results_inventory", sql="SELECT * FROM (VALUES "
-       + ", ".join(f"('{n}', TRUE)" for n in EXPECTED_OUTPUTS) + ") t(name, present)")
-def results_inventory(spark, sf):
-    """Evaluate the experiment fixture, write every output of a run,
-    list them; a missing one is an error."""
+_OUTPUTS = "SELECT * FROM (VALUES " + ", ".join(f"('{n}', TRUE)" for n in EXPECTED_OUTPUTS) + ") t(name, present)"
+
+
+def _written(spark, res):
+    """Write every output of a run and list them; a missing one is an error."""
     # a fresh folder under the shared checkpoint location (works for any
     # Hadoop filesystem, not only a local one)
     out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/results-{uuid.uuid4().hex}"
+    write_outputs(res, TD, out)
+    found = cut_lineage(RS.inventory(spark, out).select("name", "present"))
+    missing = [r["name"] for r in found.where("NOT present").collect()]     # at most the expected names
+    if missing:
+        raise ValueError(f"outputs not written: {missing}")
+    return found
+
+
+@query("results_inventory", sql=_OUTPUTS)
+def results_inventory(spark, sf):
+    """Entry 1 + M14 + A7-A10: the whole experiment on documents x labels, with
+    the winner's representation refitted for the recommendations."""
+    return _written(spark, run_benchmark(labelled(spark, sf), TD))
+
+
+@query("results_inventory_fixture", sql=_OUTPUTS)
+def results_inventory_fixture(spark, sf):
+    """A7-A10 on the experiment fixture and the given embeddings; nothing is fitted."""
     res = evaluate(cut_lineage(experiment_fixture(spark, sf)), TD)
     vec = emb_vectors(spark, sf)
     hist = R.sampled_history(vec, TD)
@@ -141,9 +159,4 @@ def results_inventory(spark, sf):
         "recommendations_history_idx": hist.groupBy("user_id").agg(F.array_sort(F.collect_list("doc_id")).alias("history_idx")),
         "history_read_only": R.history_table(hist, docs, []),
     })
-    write_outputs(res, TD, out)
-    found = cut_lineage(RS.inventory(spark, out).select("name", "present"))
-    missing = [r["name"] for r in found.where("NOT present").collect()]     # at most the expected names
-    if missing:
-        raise ValueError(f"outputs not written: {missing}")
-    return found
+    return _written(spark, res)
