@@ -260,20 +260,22 @@ def known_labels(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, s: Settings, id_col: str, label_col: str) -> pd.DataFrame:
-    """At most ``max_per_class`` labelled rows a class, in hash order, while
-    their texts fit ``max_bytes``; null labels and held-out ids are left out."""
+    """At most ``max_per_class`` labelled rows a class, in hash order, whose
+    texts fit ``max_bytes``; a text that does not fit is skipped.  The first
+    ``4 * max_per_class`` rows that fit alone are looked at.  Null labels and held-out ids are left out."""
     y = known_labels(labels, id_col, label_col)
     size = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.octet_length("text").alias("n"))
     place = F.md5(F.concat(F.lit(f"{s.seed}:"), F.col("id").cast("string")))
     pool = y.join(size.groupBy("id").agg(F.max("n").alias("n")), "id").withColumn("place", place)
-    ids, total = [], 0
+    ids = []
     for value in (1, 0):
-        rows, total = pool.where(F.col("y") == value).orderBy("place").limit(s.max_per_class).collect(), 0
+        fits = pool.where((F.col("y") == value) & (F.coalesce("n", F.lit(0)) <= s.max_bytes / 2))
+        rows, taken, total = fits.orderBy("place").limit(4 * s.max_per_class).collect(), 0, 0
         for r in rows:
-            total += r["n"] or 0
-            if total > s.max_bytes / 2:
-                break
-            ids.append((r["id"], value, r["place"]))
+            n = r["n"] or 0
+            if taken < s.max_per_class and total + n <= s.max_bytes / 2:
+                taken, total = taken + 1, total + n
+                ids.append((r["id"], value, r["place"]))
     if not ids:
         return pd.DataFrame({"id": [], "y": [], "lang": [], "text": [], "place": []})
     chosen = docs.sparkSession.createDataFrame(ids, "id long, y int, place string")

@@ -1,5 +1,7 @@
 """Op4's cut and thresholds come from all labelled documents, at their class ratio."""
 
+import zlib
+
 import numpy as np
 import pandas as pd
 
@@ -35,3 +37,12 @@ def test_languages_get_thresholds_beyond_the_sample(spark, monkeypatch):
         assert abs(hist["w"][hist["y"] == y].sum() - truth[y]) < 1e-6
     assert hist["n"].sum() >= truth.sum() - 80
     assert isinstance(hist, pd.DataFrame)
+
+
+def test_a_long_text_does_not_cut_the_sample(spark):
+    rows = [(i, "word " * (400 if i % 4 == 0 else 2), "en", i % 2) for i in range(120)]     # the long ones are clean
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    sample = o4.training_sample(docs, labels, o4.Settings(max_bytes=3000), "doc_id", "toxic")
+    short = {r[0] for r in rows if r[3] == 0 and len(r[1]) < 2000 and zlib.crc32(str(r[0]).encode()) % 3 != 1}
+    assert set(sample["id"][sample["y"] == 0]) == short
