@@ -39,8 +39,8 @@ def normalized_stream(stream: DataFrame, max_tokens: int = 0) -> DataFrame:
 def run_to_table(stream: DataFrame, out_dir: str | None = None, batch_fn=None) -> str:
     """Drain the available input (``availableNow``) into a parquet table in
     the shared checkpoint folder; ``batch_fn`` maps each micro-batch (static
-    DataFrame) before it is written, each to its own ``epoch``.  Returns the
-    table path."""
+    DataFrame) before it is written, each to its own folder.  Returns the path
+    pattern that reads the table, without a column for the folders."""
     spark = stream.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     out_dir = out_dir or f"{base}/stream-{uuid.uuid4().hex}"
@@ -48,13 +48,13 @@ def run_to_table(stream: DataFrame, out_dir: str | None = None, batch_fn=None) -
     def write(batch: DataFrame, epoch: int) -> None:
         b = batch_fn(batch) if batch_fn is not None else batch
         # a folder per batch, overwritten: a replayed batch replaces its rows
-        b.write.mode("overwrite").parquet(f"{out_dir}/data/epoch={epoch}")
+        b.write.mode("overwrite").parquet(f"{out_dir}/data/batch-{epoch}")
 
     q = (stream.writeStream.foreachBatch(write)
                .option("checkpointLocation", f"{out_dir}/_checkpoint")
                .trigger(availableNow=True).start())
     q.awaitTermination()
-    return f"{out_dir}/data"
+    return f"{out_dir}/data/batch-*"
 
 
 def score_stream(stream: DataFrame, representation, model, out_dir: str | None = None) -> str:
