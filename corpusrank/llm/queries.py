@@ -6,6 +6,9 @@ from __future__ import annotations
 from corpusrank.llm import sql
 from corpusrank.llm.common import read
 from corpusrank.llm import op4_toxicity as toxicity
+from corpusrank.llm import op11_alignment as alignment
+from corpusrank.llm import op12_bpe as bpe
+from corpusrank.llm import op13_runs as periodic
 from corpusrank.llm.op1_exact_dedup import exact_dedup
 from corpusrank.llm.op2_sharding import shard
 from corpusrank.llm.op3_token_counts import histogram
@@ -58,7 +61,20 @@ def op10_line_dedup(spark, sf_dir):
     return per_document(read(spark, sf_dir, "documents"), **WHOLE)
 
 
+def op11_alignment(spark, sf_dir):
+    return alignment.per_document(read(spark, sf_dir, "documents"))
+
+
+def op12_bpe(spark, sf_dir):
+    return bpe.digests(read(spark, sf_dir, "documents"))
+
+
+def op13_runs(spark, sf_dir):
+    return periodic.digests(periodic.find_runs(periodic.with_planted_runs(read(spark, sf_dir, "documents"))))
+
+
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_token_counts, op4_toxicity, op5_secrets, op6_mixing,
-                                   op7_minhash, op8_quality, op9_packing, op10_line_dedup)}
+                                   op7_minhash, op8_quality, op9_packing, op10_line_dedup, op11_alignment, op12_bpe,
+                                   op13_runs)}
 ORACLES = {"op1_exact_dedup": sql.EXACT_DEDUP, "op6_mixing": sql.MIXING, "op7_minhash": sql.NEAR_DEDUP,
            "op8_quality": sql.QUALITY}
