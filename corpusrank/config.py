@@ -66,7 +66,8 @@ class Options:
     topk_theta: float = 0.01
     topk_history_size: int = 10
     topk_use_real_time: bool = False
-    # documents per block and users per block in the blocked top-K product
+    # documents of the newest window and of one broadcast part; users up to whom
+    # the users are the broadcast side
     topk_block_docs: int = 4096
     topk_block_users: int = 1024
 

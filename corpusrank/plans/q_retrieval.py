@@ -112,10 +112,8 @@ def cosine(spark, sf):
     """cosine of every document to the simulated user's profile (one
     user, so the output is linear in the documents)."""
     vec, hist = _single_user(spark, sf)
-    docs, _ = R.prepare_docs(vec, TD)
-    prof = R.user_profiles(hist, vec).withColumn("history", F.array().cast("array<long>"))
-    c = R.blocked_scores(prof, docs, TD, k=None)
-    return c.select("doc_id", F.round("cosine", 6).alias("cosine"))
+    profile = R.user_profiles(hist, vec).first()["profile"]
+    return R.cosines(vec, profile).select("doc_id", F.round("cosine", 6).alias("cosine"))
 
 
 @query("topk_all_users", sql=f"""WITH {unit_vectors_cte()}, {doc_times_cte()}, {_EVENTS_HIST},
@@ -134,7 +132,7 @@ ranked AS (SELECT *, cosine * time_weight AS score,
 SELECT user_id, CAST(rk AS BIGINT) AS rank, doc_id, round(score, 6) AS score, round(cosine, 6) AS cosine,
        round(time_weight, 6) AS time_weight, doc_time FROM ranked WHERE rk <= {K}""")
 def topk_all_users(spark, sf):
-    """R2: every user of the interaction log in one blocked pass."""
+    """R2: every user of the interaction log, newest documents first."""
     vec = emb_vectors(spark, sf)
     return R.top_k_time_aware(vec, _events_history(spark, sf).select("user_id", "doc_id"), TD)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -62,6 +63,24 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
+def scratch_path(spark, name: str) -> str:
+    """A new folder below the shared checkpoint folder; the JVM that made it
+    removes it when it ends."""
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    return path
+
+
+def saved(df, name: str = "saved"):
+    """Write ``df`` as Parquet below the shared checkpoint folder and read it
+    again: cuts the lineage like a checkpoint, and later reads are pruned to the
+    columns and rows they need."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df):
     """Give CPU-heavy per-row work (regex analysis) at least one task per core.
 
