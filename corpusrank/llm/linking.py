@@ -62,7 +62,7 @@ def link(keyed: DataFrame, items: DataFrame, attrs: list[str], compatible: Calla
          verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame] | None = None,
          refined: list[str] = (), bound: Callable[[str, str], Column] | None = None,
          viable: Column | None = None, order: str = "id", once: Callable[[str, str], Column] | None = None,
-         once_attrs: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+         once_attrs: list[str] = (), repeated: bool = False) -> tuple[DataFrame, DataFrame]:
     """``(components, links)`` of ``keyed(key, id)``; ``items(id, *attrs)`` has
     each id once.
 
@@ -72,12 +72,14 @@ def link(keyed: DataFrame, items: DataFrame, attrs: list[str], compatible: Calla
     ``bound(x, y)`` and ``viable`` are further necessary conditions and
     ``order`` (an expression, small first) chooses the best member.  ``once``,
     over ``key`` and the items' ``once_attrs``, holds for one shared key of a
-    pair, so that step 4 makes a pair once and not for each key it shares."""
+    pair, so that step 4 makes a pair once and not for each key it shares.
+    ``repeated``: ``keyed`` may hold rows more than once."""
     pair = [F.least("id", "lead_id").alias("a"), F.greatest("id", "lead_id").alias("b")]
     # written tables on both sides keep the joins splittable where a key is hot
     lead = saved(keyed.groupBy("key").agg(F.min("id").alias("lead_id"), F.max("id").alias("_last"))
                  .where("lead_id <> _last").drop("_last"), "leads")
-    members = saved(_with(keyed.join(lead, "key"), items, attrs), "members")
+    members = keyed.join(lead, "key")
+    members = saved(_with(members.distinct() if repeated else members, items, attrs), "members")
     first = _with(members.where("id <> lead_id").select("id", "lead_id", *attrs).distinct(), items, attrs, "lead_id", "lead_")
     first = first.where(compatible("", "lead_")).groupBy("id").agg(F.min("lead_id").alias("lead_id"))
     links = saved(verify(first.select(*pair)), "verified")
