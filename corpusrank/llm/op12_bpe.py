@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-PART, WIDTH, CACHE, LONG = 1 << 20, 256, 400_000, 128
+PART, WIDTH, CACHE, LONG = 1 << 19, 256, 250_000, 128
 U32 = np.dtype("<u4")
 
 # Classes of code points: letters that the pattern's contractions name stand apart.
@@ -344,8 +344,11 @@ def decode(encoded: DataFrame, path: str | None = None, keep: tuple[str, ...] =
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocab = vocabulary(path)
         for pdf in batches:
-            yield pdf.assign(decoded=[decode_tokens(np.frombuffer(i, dtype=U32), np.frombuffer(e, dtype=U32), vocab)
-                                      for i, e in zip(pdf.pop("ids"), pdf.pop("ends"))])
+            for at in range(0, len(pdf), 500):
+                some = pdf.iloc[at: at + 500]
+                yield some.drop(columns=["ids", "ends"]).assign(decoded=[
+                    decode_tokens(np.frombuffer(i, dtype=U32), np.frombuffer(e, dtype=U32), vocab)
+                    for i, e in zip(some["ids"], some["ends"])])
 
     some = encoded.select(*keep, "ids", "ends")
     schema = ", ".join(f"`{c}` {some.schema[c].dataType.simpleString()}" for c in keep)
