@@ -47,6 +47,7 @@ class Options:
     logreg_max_iter: int = 3000
     svm_max_iter: int = 1000
     gbt_max_iter: int = 200
+    gbt_exact_max_iter: int = 100
 
     # overfit rule
     enable_overfit_flag: bool = True
@@ -71,6 +72,9 @@ class Options:
     topk_block_docs: int = 4096
     topk_block_users: int = 1024
 
+    # fits of the grid that run at once
+    parallelism: int = 4
+
     # grid switches
     run_w2v: bool = True
     w2v_only_for_model: str = "logreg"

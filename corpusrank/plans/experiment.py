@@ -1,17 +1,20 @@
 """The nested cross-validation experiment end to end.
 
 Driver-side control flow is limited to the tiny grid (folds x representations
-x models); every fit, transform and metric is a Spark job.  Features are
-fitted once per (fold, stage, representation) and shared by all models (N20);
-the long ``scores`` table is the single source for fold results, summary,
+x models); every fit, transform and metric is a Spark job, and up to
+``Options.parallelism`` of them run at once.  Features are fitted once per (fold,
+stage, representation), written in as few partitions as their size allows, and
+shared by all models (N20); the long ``scores`` table is the single source for fold results, summary,
 winner, OOF tables and diagnostics - nothing is refitted (N18).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import partial
 
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusrank.config import Options
@@ -22,7 +25,7 @@ from corpusrank.operators import selection as SEL
 from corpusrank.operators.embed import as_ml_vector, fit_representation
 from corpusrank.operators.models import fit_model, model_scores
 from corpusrank.operators.splits import split_table, stratified_folds
-from corpusrank.session import cut_lineage
+from corpusrank.session import cut_lineage, saved
 
 
 @dataclass
@@ -37,9 +40,25 @@ class ExperimentResult:
     tables: dict = field(default_factory=dict)
 
 
-def _features(rep_model, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    v = rep_model.transform(docs.select("doc_id", "text"))
-    return cut_lineage(as_ml_vector(v.join(labels, "doc_id"), "vec", "features"))
+FEATURE_BYTES = 32 << 20       # of a partition of features
+
+
+def features(rep_model, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labelled features of ``docs`` as a written table.  Iterative fits start a job
+    per iteration, so the rows go to few partitions of ``FEATURE_BYTES``."""
+    x = saved(as_ml_vector(rep_model.transform(docs.select("doc_id", "text")).join(labels, "doc_id"), "vec", "features")
+              .drop("vec"), "features")
+    one = x.select("features").first()
+    size = 8 * (one[0].size if one else 1) * x.count()
+    return x.coalesce(max(1, -(-size // FEATURE_BYTES)))
+
+
+def at_once(jobs: list, parallelism: int) -> list:
+    """Results of the functions ``jobs``, run by a few driver threads."""
+    from multiprocessing.pool import ThreadPool
+    wrap = inheritable_thread_target(SparkSession.getActiveSession())
+    with ThreadPool(max(1, min(int(parallelism), len(jobs)))) as pool:
+        return pool.map(lambda job: job(), [wrap(job) for job in jobs], chunksize=1)
 
 
 def analyses(corpus: DataFrame, opts: Options) -> dict:
@@ -66,32 +85,33 @@ def score_grid(corpus: DataFrame, opts: Options) -> DataFrame:
     splits = cut_lineage(split_table(stratified_folds(corpus.select("doc_id", "y"), opts), opts))
     grid = [(r["rep"], r["model"]) for r in SEL.candidate_grid(spark, opts).collect()]
     reps = sorted({r for r, _ in grid})
-    parts = []
+    stages = []
     for fold in range(1, int(opts.outer_folds) + 1):
         sf = splits.filter(F.col("fold") == fold).select("doc_id", "split")
         labelled = corpus.join(sf, "doc_id")
-        inner_tr = labelled.filter(F.col("split") == "train")
         inner_all = labelled.filter(F.col("split").isin("train", "val"))
-        outer_tr = inner_all
-        outer_all = labelled
-        lab_in = inner_all.select("doc_id", "y", "split")
-        lab_out = outer_all.select("doc_id", "y", F.when(F.col("split") == "test", "test")
-                                   .otherwise("outer_train").alias("split"))
+        outer = labelled.withColumn("split", F.when(F.col("split") == "test", "test").otherwise("outer_train"))
         for rep in reps:
-            # Fit on the stage's training rows only, transform both sides
-            x_in = _features(fit_representation(rep, inner_tr, opts, cache), inner_all, lab_in)
-            x_out = _features(fit_representation(rep, outer_tr, opts, cache), outer_all, lab_out)
-            for model in [m for r, m in grid if r == rep]:
-                m_in = fit_model(model, x_in.filter(F.col("split") == "train"), opts)
-                s_in = model_scores(m_in, x_in).select("doc_id", "y", "split", "score")
-                m_out = fit_model(model, x_out.filter(F.col("split") == "outer_train"), opts)
-                s_te = model_scores(m_out, x_out.filter(F.col("split") == "test")).select(
-                    "doc_id", "y", "split", "score")
-                for s in (s_in, s_te):
-                    parts.append(s.select(F.lit(fold).cast("int").alias("fold"), F.lit(rep).alias("rep"),
-                                          F.lit(model).alias("model"), "split", "doc_id",
-                                          F.col("y").cast("int").alias("y"), "score"))
-    return cut_lineage(SEL.union_all(parts))
+            models = [m for r, m in grid if r == rep]
+            stages.append((fold, rep, models, inner_all, "train", ["train", "val"]))
+            stages.append((fold, rep, models, outer, "outer_train", ["test"]))
+
+    def represented(fold, rep, models, rows, fit_on, wanted):
+        # Fit on the stage's training rows only, transform both sides
+        fitted = fit_representation(rep, rows.filter(F.col("split") == fit_on).drop("split"), opts, cache)
+        x = features(fitted, rows, rows.select("doc_id", "y", "split"))
+        return [(fold, rep, m, x, fit_on, wanted) for m in models]
+
+    def scored(fold, rep, model, x, fit_on, wanted):
+        m = fit_model(model, x.filter(F.col("split") == fit_on), opts)
+        s = model_scores(m, x.filter(F.col("split").isin(wanted))).select(
+            F.lit(fold).cast("int").alias("fold"), F.lit(rep).alias("rep"), F.lit(model).alias("model"), "split", "doc_id",
+            F.col("y").cast("int").alias("y"), "score")
+        return saved(s, "scores")
+
+    fits = [f for some in at_once([partial(represented, *s) for s in stages], opts.parallelism) for f in some]
+    fits.sort(key=lambda f: f[2] != "gbt")                 # the longest first
+    return cut_lineage(SEL.union_all(at_once([partial(scored, *f) for f in fits], opts.parallelism)))
 
 
 def evaluate(scores: DataFrame, opts: Options, corpus: DataFrame | None = None) -> ExperimentResult:
