@@ -177,10 +177,14 @@ def test_blocks_are_pigeonholes(spark):
             b[k] = f"word{rng.randrange(10**6)}"
         rng.shuffle(b)
         rows.append((i, " ".join(a), " ".join(b)))
-    df = spark.createDataFrame(rows, "i long, a string, b string")
-    keys = o10.block_keys(o10.block_keys(df, "a", "ka"), "b", "kb")
-    sizes = keys.select(F.size("ka").alias("n"), F.arrays_overlap("ka", "kb").alias("met")).collect()
-    assert all(r.met for r in sizes) and max(r.n for r in sizes) <= o10.CLASSES
+    df = spark.createDataFrame([(2 * i + k, t) for i, *two in rows for k, t in enumerate(two)], "line_hash long, norm string")
+    keys = {}
+    for r in o10.block_keys(df.union(df)).collect():
+        assert r.key not in keys.setdefault(r.id, set())
+        keys[r.id].add(r.key)
+    assert all(keys[2 * i] & keys[2 * i + 1] and len(keys[2 * i]) <= o10.CLASSES for i, *_ in rows)
+    plan = o10.block_keys(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(line_hash") == 1 and plan.count("Exchange") == plan.count("Exchange hashpartitioning(line_hash")
 
 
 def test_line_dedup_edges(edge, empty):
