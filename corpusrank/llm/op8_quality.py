@@ -4,13 +4,13 @@ Base rules are counted inside each row from its word array.  For the method's
 verdict every line with a word is normalised (A-Z lowered, white space
 collapsed) and hashed; a host's documents with a line are counted once per
 distinct document text (so copies of one document are not taken for
-boilerplate); lines found in more than ``max(min_docs, share * documents of the
-host)`` of them are removed, and a document of which less than ``min_left`` of
-the words remains is rejected.
+boilerplate); lines found in more than ``max_docs`` of them, whatever the host's size,
+or in more than ``min_docs`` and more than ``share`` of the host's, are removed, and a
+document of which less than ``min_left`` of the words remains is rejected.
 
 Only hashes leave the scan.  Counting is a map-side combined sum per
-(host, line); the lines above the limit are few by arithmetic (a host can have
-at most lines per document / share of them).
+(host, line); the lines above a limit are few by arithmetic (a host has at most its
+lines / min_docs of them).
 
 Null text has no words and fails the base rules; null hosts form one host;
 documents with a null id are judged like others but no line is removed from
@@ -27,35 +27,41 @@ from corpusrank.llm.common import SPACE, WORD, ascii_lower, saved, text_or_empty
 
 # Symbol characters and white space.
 SYMBOLS = r"[#*$%&|<>]+"
+PACKED = 1 << 16
 
 
 def repeat_words(word_hashes: str) -> Column:
     """Words covered by 3-word windows that occur at least twice.
 
-    Windows become 64-bit hashes; sorting hash-high-bits | position brings equal
-    windows together, the full hashes confirm neighbours, and the covered words
-    are the sum of min(3, distance to the next such window)."""
-    bits = (1 << 24) - 1
+    Windows are 64-bit hashes.  Sorting hash-high-bits | position, with as many low
+    bits as the text's positions need, brings equal windows together, and the full
+    hashes confirm neighbours; texts of more than ``PACKED`` windows sort (hash,
+    position) pairs instead, as their positions would take too many bits.  The covered
+    words are the sum of min(3, distance to the next such window)."""
+    packed = """filter(transform(_sorted, (x, i) -> IF(
+            (i > 0 AND (_sorted[i - 1] & ~_mask) = (x & ~_mask) AND _win[int(_sorted[i - 1] & _mask)] = _win[int(x & _mask)])
+            OR (i < size(_sorted) - 1 AND (_sorted[i + 1] & ~_mask) = (x & ~_mask) AND _win[int(_sorted[i + 1] & _mask)] = _win[int(x & _mask)]),
+            int(x & _mask), -1)), p -> p >= 0)"""
+    paired = """filter(transform(_pairs, (x, i) -> IF((i > 0 AND _pairs[i - 1].h = x.h) OR (i < size(_pairs) - 1 AND _pairs[i + 1].h = x.h),
+            x.i, -1)), p -> p >= 0)"""
     return F.expr(f"""
       CASE WHEN size({word_hashes}) < 4 OR size(array_distinct(_win)) = size(_win) THEN 0L
       ELSE aggregate(
-        array_sort(filter(transform(_sorted, (x, i) -> IF(
-            (i > 0 AND (_sorted[i - 1] & ~{bits}L) = (x & ~{bits}L) AND _win[int(_sorted[i - 1] & {bits}L)] = _win[int(x & {bits}L)])
-            OR (i < size(_sorted) - 1 AND (_sorted[i + 1] & ~{bits}L) = (x & ~{bits}L) AND _win[int(_sorted[i + 1] & {bits}L)] = _win[int(x & {bits}L)]),
-            int(x & {bits}L), -1)), p -> p >= 0)),
+        array_sort(CASE WHEN size(_win) <= {PACKED} THEN {packed} ELSE {paired} END),
         named_struct('n', 0L, 'last', -3),
         (a, p) -> named_struct('n', a.n + least(3, p - a.last), 'last', p),
         a -> a.n) END""")
 
 
 def base_counts(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    bits = (1 << 24) - 1
     t = F.col("_t")
     x = docs.select(F.col(id_col), F.col(host_col).alias("host"), text_or_empty(text_col).alias("_t"))
     x = x.withColumn("_wh", F.transform(words(t), lambda w: F.xxhash64(w)))
     x = x.withColumn("_win", F.expr("""IF(size(_wh) < 3, array(), transform(sequence(0, size(_wh) - 3),
         i -> xxhash64(_wh[i], _wh[i + 1], _wh[i + 2])))"""))
-    x = x.withColumn("_sorted", F.expr(f"array_sort(transform(_win, (h, i) -> (h & ~{bits}L) | i))"))
+    x = x.withColumn("_mask", F.expr("shiftleft(1L, int(floor(log2(size(_win) + 1))) + 1) - 1"))
+    x = x.withColumn("_sorted", F.expr(f"IF(size(_win) <= {PACKED}, array_sort(transform(_win, (h, i) -> (h & ~_mask) | i)), NULL)"))
+    x = x.withColumn("_pairs", F.expr(f"IF(size(_win) > {PACKED}, array_sort(transform(_win, (h, i) -> struct(h, i))), NULL)"))
     x = x.withColumn("_lines", F.filter(F.split(t, "\n"), lambda s: s.rlike(WORD)))
     return x.select(
         id_col, "host",
@@ -70,7 +76,7 @@ def base_counts(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> D
             F.regexp_count(s, F.lit(WORD)).alias("n"))).alias("lines"))
 
 
-def quality(docs: DataFrame, share: float = 0.1, min_docs: int = 20, min_left: float = 0.3,
+def quality(docs: DataFrame, share: float = 0.1, min_docs: int = 20, max_docs: int = 100, min_left: float = 0.3,
             id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """``(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, removed_words, kept)``, one row per document."""
@@ -88,7 +94,7 @@ def quality(docs: DataFrame, share: float = 0.1, min_docs: int = 20, min_left: f
             .select("host", F.explode("ls").alias("line")))
     common = (once.groupBy("host", "line").agg(F.count(F.lit(1)).alias("df"))
               .where(F.col("df") > min_docs)
-              .join(n_docs, "host").where(F.col("df") > share * F.col("host_docs")).select("host", "line"))
+              .join(n_docs, "host").where((F.col("df") > max_docs) | (F.col("df") > share * F.col("host_docs"))).select("host", "line"))
     removed = (lines.join(common, ["host", "line"], "left_semi")
                .groupBy(id_col, "text_hash").agg(F.sum("n").alias("removed_words")))
     copies = rows.groupBy(id_col, "text_hash").agg(F.count(F.lit(1)).alias("n_rows"))

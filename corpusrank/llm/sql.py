@@ -51,7 +51,7 @@ norm AS (SELECT doc_id, host, trim(regexp_replace({_LOWER.format('l')}, '[\x20\x
 reps AS (SELECT host, t, min(doc_id) AS doc_id FROM d GROUP BY 1, 2),
 hosts AS (SELECT host, count(*) AS host_docs FROM reps GROUP BY 1),
 df AS (SELECT n.host, line, count(DISTINCT n.doc_id) AS df FROM norm n JOIN reps r ON n.doc_id = r.doc_id GROUP BY 1, 2),
-common AS (SELECT df.host, line FROM df JOIN hosts USING (host) WHERE df > 20 AND df > 0.1 * host_docs),
+common AS (SELECT df.host, line FROM df JOIN hosts USING (host) WHERE df > 100 OR (df > 20 AND df > 0.1 * host_docs)),
 rem AS (SELECT doc_id, sum(n) AS removed_words FROM norm JOIN common USING (host, line) GROUP BY 1),
 b AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
              CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,

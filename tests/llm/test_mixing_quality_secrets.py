@@ -127,6 +127,27 @@ def test_quality_base_counts(spark, edge, empty):
     assert {r["doc_id"]: r["n_repeat_words"] for r in o8.quality(df).collect()} == {i: brute_quality(t)[4] for i, t in enumerate(reps)}
 
 
+def test_repeated_windows_of_long_texts(spark, monkeypatch):
+    """Both ways of sorting windows, on either side of the border."""
+    texts = [" ".join(f"w{k % n}" for k in range(3 * n // 2)) for n in (5, 50, 400)] + [" ".join(f"v{k}" for k in range(700))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'s' AS source")
+    want = {i: brute_quality(t)[4] for i, t in enumerate(texts)}
+    for border in (1 << 16, 100, 3):
+        monkeypatch.setattr(o8, "PACKED", border)
+        assert {r["doc_id"]: r["n_repeat_words"] for r in o8.quality(df).collect()} == want
+
+
+def test_a_growing_host_keeps_its_boilerplate(spark):
+    """A line of 150 documents stays boilerplate when its host grows tenfold."""
+    menu = " ".join(f"menu{k}" for k in range(60))
+    body = lambda i: " ".join(f"w{i}q{k}" for k in range(60))
+    rows = [(i, f"{menu}\nonly {i}", "s") for i in range(150)]
+    for others in (300, 3000):
+        df = spark.createDataFrame(rows + [(1000 + i, body(i), "s") for i in range(others)], "doc_id long, text string, source string")
+        kept = {r["doc_id"]: r["kept"] for r in o8.quality(df).collect()}
+        assert not any(kept[i] for i in range(150)) and all(kept[1000 + i] for i in range(others))
+
+
 def test_boilerplate_lines_reject_depleted_documents(spark):
     body = lambda i: " ".join(f"w{i}q{k}" for k in range(60))
     menu = " ".join(f"menu{k}" for k in range(60))
