@@ -43,14 +43,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+SMALL_BYTES = 1 << 20
+
+
 def saved(df: DataFrame, name: str = "saved") -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and read it
     again: cuts the lineage, survives lost executors, and later reads are
-    column-pruned."""
+    column-pruned.  A table of at most ``SMALL_BYTES`` is read as one partition, so
+    that joins and sums of small tables need no exchange."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    written = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(jpath).getLength()
+    return out.coalesce(1) if written <= SMALL_BYTES else out
 
 
 def sized(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
