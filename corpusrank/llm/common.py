@@ -49,15 +49,23 @@ SMALL_BYTES = 1 << 20
 def saved(df: DataFrame, name: str = "saved") -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and read it
     again: cuts the lineage, survives lost executors, and later reads are
-    column-pruned.  A table of at most ``SMALL_BYTES`` is read as one partition, so
-    that joins and sums of small tables need no exchange."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
+    column-pruned."""
+    return _written(df, name)[0]
+
+
+def compacted(df: DataFrame, name: str = "saved") -> DataFrame:
+    """``saved``, but a table of at most ``SMALL_BYTES`` is read as one partition:
+    joins and sums of tables that small need no exchange."""
+    out, path = _written(df, name)
+    jvm = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    size = jvm.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(jvm).getLength()
+    return out.coalesce(1) if size <= SMALL_BYTES else out
+
+
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    written = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(jpath).getLength()
-    return out.coalesce(1) if written <= SMALL_BYTES else out
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def sized(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:

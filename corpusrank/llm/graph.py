@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusrank.llm.common import saved
+from corpusrank.llm.common import compacted
 
 
 SMALL = 500_000
@@ -17,7 +17,7 @@ def _stars(pairs: DataFrame, n: int) -> DataFrame:
     written table, so both sides of the join are plain shuffles and a node with
     very many neighbours is split."""
     low = pairs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return pairs.join(F.broadcast(low) if n <= SMALL else saved(low, "stars"), "a")
+    return pairs.join(F.broadcast(low) if n <= SMALL else compacted(low, "stars"), "a")
 
 
 def roots(parents: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def roots(parents: DataFrame) -> DataFrame:
     p = parents
     while True:
         up = p.select(F.col("id").alias("parent"), F.col("parent").alias("next"))
-        new = saved(p.join(up, "parent", "left").select("id", F.coalesce("next", "parent").alias("parent"),
+        new = compacted(p.join(up, "parent", "left").select("id", F.coalesce("next", "parent").alias("parent"),
                                                         F.col("next").isNotNull().alias("moved")), "parents")
         p = new.drop("moved")
         if new.where("moved").isEmpty():
@@ -44,7 +44,7 @@ def components(links: DataFrame) -> DataFrame:
     its smaller ones.  Each step is an aggregation with map-side combine and a
     sort-merge join whose hot nodes Spark splits; the number of rounds grows
     with the logarithm of the longest chain."""
-    up = saved(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    up = compacted(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before, n = None, up.count()
     while n:
         both = up.unionByName(up.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -52,7 +52,7 @@ def components(links: DataFrame) -> DataFrame:
         s = _stars(large, n)
         small = (s.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(s.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
-        up = saved(small, "links")
+        up = compacted(small, "links")
         state = up.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b") % 1000003)).first()
         if state == before:
             break

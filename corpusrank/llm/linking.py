@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusrank.llm.common import saved
+from corpusrank.llm.common import compacted
 from corpusrank.llm.graph import components, roots
 
 
@@ -33,7 +33,7 @@ def _grouped(members: DataFrame, comp: DataFrame) -> DataFrame:
          .withColumn("component", F.coalesce("component", "id")).drop("_i"))
     mixed = (m.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last"))
              .where("first <> last").select("key", "first"))
-    return m.join(saved(mixed, "mixed-keys"), "key")
+    return m.join(compacted(mixed, "mixed-keys"), "key")
 
 
 def _with(df: DataFrame, items: DataFrame, attrs: list[str], id_col: str = "id", prefix: str = "") -> DataFrame:
@@ -51,11 +51,11 @@ def _joined(links: DataFrame, comp: DataFrame, more: DataFrame) -> tuple[DataFra
     edge = more
     for end in ("a", "b"):
         edge = (edge.join(of, edge[end] == of["_i"], "left").withColumn(end, F.coalesce("_c", end)).drop("_i", "_c"))
-    merged = saved(components(edge.distinct()), "merged")
+    merged = compacted(components(edge.distinct()), "merged")
     known = comp.unionByName(merged.select("id", F.col("id").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
     new = merged.select(F.col("id").alias("component"), F.col("component").alias("_to"))
     out = known.join(new, "component", "left").select("id", F.coalesce("_to", "component").alias("component"))
-    return links.unionByName(more), saved(out, "components")
+    return links.unionByName(more), compacted(out, "components")
 
 
 def link(keyed: DataFrame, items: DataFrame, attrs: list[str], compatible: Callable[[str, str], Column],
@@ -75,33 +75,33 @@ def link(keyed: DataFrame, items: DataFrame, attrs: list[str], compatible: Calla
     pair, so that step 4 makes a pair once and not for each key it shares."""
     pair = [F.least("id", "lead_id").alias("a"), F.greatest("id", "lead_id").alias("b")]
     # written tables on both sides keep the joins splittable where a key is hot
-    lead = saved(keyed.groupBy("key").agg(F.min("id").alias("lead_id"), F.max("id").alias("_last"))
+    lead = compacted(keyed.groupBy("key").agg(F.min("id").alias("lead_id"), F.max("id").alias("_last"))
                  .where("lead_id <> _last").drop("_last"), "leads")
-    members = saved(_with(keyed.join(lead, "key"), items, attrs), "members")
+    members = compacted(_with(keyed.join(lead, "key"), items, attrs), "members")
     first = _with(members.where("id <> lead_id").select("id", "lead_id", *attrs).distinct(), items, attrs, "lead_id", "lead_")
     first = first.where(compatible("", "lead_")).groupBy("id").agg(F.min("lead_id").alias("lead_id"))
-    links = saved(verify(first.select(*pair)), "verified")
-    comp = saved(roots(links.select(F.col("b").alias("id"), F.col("a").alias("parent"))), "components")
-    members = saved(_grouped(members.select("key", "id", *attrs), comp).drop("first"), "mixed")
+    links = compacted(verify(first.select(*pair)), "verified")
+    comp = compacted(roots(links.select(F.col("b").alias("id"), F.col("a").alias("parent"))), "components")
+    members = compacted(_grouped(members.select("key", "id", *attrs), comp).drop("first"), "mixed")
     if members.isEmpty():
         return comp, links
     if refine is not None:
-        extra = saved(refine(members.select("id").distinct()), "refined")
+        extra = compacted(refine(members.select("id").distinct()), "refined")
         members = members.join(extra, "id")
-        members = saved(members.where(viable) if viable is not None else members, "viable")
+        members = compacted(members.where(viable) if viable is not None else members, "viable")
     attrs = [*attrs, *refined]
     fits = compatible if bound is None else lambda x, y: compatible(x, y) & bound(x, y)
 
     m = _grouped(members.drop("component"), comp)
     best = F.min(F.struct(F.expr(order).alias("_order"), "id", *attrs))
-    reps = saved(m.groupBy("key", "component").agg(best.alias("me"))
+    reps = compacted(m.groupBy("key", "component").agg(best.alias("me"))
                  .select("key", "component", *[F.col(f"me.{c}").alias(c) for c in ("_order", "id", *attrs)]), "reps")
-    heads = saved(reps.groupBy("key").agg(F.min(F.struct("_order", "id", "component", *attrs)).alias("head"))
+    heads = compacted(reps.groupBy("key").agg(F.min(F.struct("_order", "id", "component", *attrs)).alias("head"))
                   .select("key", *[F.col(f"head.{c}").alias(f"lead_{c}") for c in ("component", "id", *attrs)]), "heads")
     tried = (reps.join(heads, "key").where((F.col("component") != F.col("lead_component")) & fits("", "lead_"))
              .select(*pair).distinct())
-    links, comp = _joined(links, comp, saved(verify(tried), "verified"))
-    m = saved(_with(_grouped(members.drop("component"), comp).drop("first"), items, list(once_attrs)), "mixed")
+    links, comp = _joined(links, comp, compacted(verify(tried), "verified"))
+    m = compacted(_with(_grouped(members.drop("component"), comp).drop("first"), items, list(once_attrs)), "mixed")
     attrs = [*attrs, *once_attrs]
     x = m.select("key", *[F.col(c).alias(f"x_{c}") for c in ("component", "id", *attrs)])
     y = m.select("key", *[F.col(c).alias(f"y_{c}") for c in ("component", "id", *attrs)])
@@ -110,4 +110,4 @@ def link(keyed: DataFrame, items: DataFrame, attrs: list[str], compatible: Calla
         same = same & once(x["key"], "x_", "y_")
     cross = (x.join(y, same & fits("x_", "y_"))
              .select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct())
-    return tuple(reversed(_joined(links, comp, saved(verify(cross), "verified"))))
+    return tuple(reversed(_joined(links, comp, compacted(verify(cross), "verified"))))
