@@ -95,6 +95,25 @@ def roc_points(stats: DataFrame, keys=None) -> DataFrame:
     return pts.unionByName(origin)
 
 
+def roc_curve(stats: DataFrame, keys=None, n_buckets: int = 256) -> DataFrame:
+    """E1 without collinear points: a point between two others stays only where the
+    counts gained by it and by the next one differ; the origin, the first and the last
+    point stay -> (keys, threshold, fpr, tpr).
+
+    The next point is the next row of the same score bucket, or the first row of the
+    next bucket, so no window holds a whole group's scores."""
+    keys = _k(keys)
+    x = quantile_bucketizer(stats, "score", n_buckets, "_b", descending=True)
+    gain = F.struct("pos", "neg")
+    first = x.groupBy(*keys, "_b").agg(F.max_by(gain, F.col("score")).alias("_f"))         # groups x buckets rows
+    after = first.select(*keys, "_b", F.lead("_f").over(Window.partitionBy(*keys).orderBy("_b")).alias("_f"))
+    x = x.withColumn("_n", F.lead(gain).over(Window.partitionBy(*keys, "_b").orderBy(F.col("score").desc())))
+    x = x.join(after, [*keys, "_b"]).withColumn("_n", F.coalesce("_n", "_f"))
+    first_point = (F.col("cum_pos") == F.col("pos")) & (F.col("cum_neg") == F.col("neg"))
+    kept = x.where(first_point | F.col("_n").isNull() | (F.col("_n.pos") != F.col("pos")) | (F.col("_n.neg") != F.col("neg")))
+    return roc_points(kept, keys)
+
+
 def pr_points(stats: DataFrame, keys=None) -> DataFrame:
     """(recall, precision) at every distinct score, plus the
     (recall 0, precision 1) end row.  Recall is 1 when there are no positives."""

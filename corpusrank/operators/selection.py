@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusrank.config import Options
+from corpusrank.config import DEFAULT, Options
 from corpusrank.operators import metrics as M
 
 CAND = ["rep", "model"]
@@ -139,11 +139,9 @@ def winner_record(summary: DataFrame, winner: DataFrame, opts: Options, folds_pa
                       mp.alias("winner_metrics_mean"))
 
 
-def sort_summary(summary: DataFrame) -> DataFrame:
-    """Order by the validation metrics that exist, all descending."""
-    pref = ["val_pr_auc_mean", "val_roc_auc_mean", "val_f1_mean", "val_mcc_mean",
-            "val_bal_acc_mean", "val_acc_mean"]
-    cols = [F.col(c).desc() for c in pref if c in summary.columns]
+def sort_summary(summary: DataFrame, opts: Options = DEFAULT) -> DataFrame:
+    """Order by the primary and tie metrics that exist, all descending."""
+    cols = [F.col(f"{m}_mean").desc() for m in (opts.primary_metric, *opts.tie_metrics) if f"{m}_mean" in summary.columns]
     return summary.orderBy(*cols) if cols else summary
 
 

@@ -138,7 +138,7 @@ def evaluate(scores: DataFrame, opts: Options, corpus: DataFrame | None = None)
     if corpus is not None:
         t = {k: E.with_text(v, corpus) for k, v in t.items()}
     stats = M.score_stats(oof, [])
-    t["winner_oof_roc_points"] = M.roc_points(stats, [])
+    t["winner_oof_roc_points"] = M.roc_curve(stats, [])
     t["winner_oof_pr_points"] = M.pr_points(stats, [])
     t["winner_oof_calibration_bins"] = M.calibration_bins(oof, [], opts.n_bins)
     t["winner_oof_reliability"] = M.reliability_curve(oof, [], opts.n_bins)

@@ -57,6 +57,17 @@ def roc_points(spark, sf):
     return p.select("variant", "threshold", *_r(["fpr", "tpr"]))
 
 
+@query("roc_curve", sql=f"""WITH {fixture_cte()}, {stats_cte('fx')},
+nx AS (SELECT *, lead(pos) OVER w AS npos, lead(neg) OVER w AS nneg, row_number() OVER w AS i FROM st WINDOW w AS (PARTITION BY variant ORDER BY score DESC))
+SELECT variant, score AS threshold, round(CAST(cum_neg AS DOUBLE) / N, 6) AS fpr, round(CAST(cum_pos AS DOUBLE) / P, 6) AS tpr FROM nx
+WHERE i = 1 OR npos IS NULL OR npos <> pos OR nneg <> neg
+UNION ALL SELECT DISTINCT variant, CAST(NULL AS DOUBLE), 0.0, 0.0 FROM st""")
+def roc_curve(spark, sf):
+    """E1 without the collinear points."""
+    p = M.roc_curve(M.score_stats(score_fixture(spark, sf), K), K)
+    return p.select("variant", "threshold", *_r(["fpr", "tpr"]))
+
+
 @query("pr_points", sql=f"""WITH {fixture_cte()}, {stats_cte('fx')}
 SELECT variant, score AS threshold, round(CASE WHEN P > 0 THEN CAST(cum_pos AS DOUBLE) / P ELSE 1.0 END, 6) AS recall,
        round(CAST(cum_pos AS DOUBLE) / (cum_pos + cum_neg), 6) AS precision FROM st

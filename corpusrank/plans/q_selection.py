@@ -148,3 +148,74 @@ def error_uncertain(spark, sf):
     """Closest to the threshold."""
     oof, thr, _, _ = _oof_and_thr(spark, sf)
     return _err(E.most_uncertain(E.decisions(oof, thr), TD.error_top_k))
+
+
+# Fixed values of the many-experiments fixture: metrics in steps of 0.004 with ties up to 0.006,
+# so that chains of near ties decide most winners.
+_MANY = TD.replace(tie_eps=0.006)
+_MANY_METRICS = [f"{m}_mean" for m in (_MANY.primary_metric, *_MANY.tie_metrics)]
+
+
+def _many_summary(spark, sf):
+    """One experiment per source of `documents`, eight candidates each, some flagged and some without a metric."""
+    from corpusrank.plans.common import table
+    d = table(spark, sf, "documents").groupBy("source", (F.col("doc_id") % 8).alias("c")).agg(F.sum("n_chars").cast("long").alias("s"))
+    m = [(F.lit(0.5) + F.expr(f"(s DIV {k + 1}) % 5") * F.lit(0.004)).alias(c) for k, c in enumerate(_MANY_METRICS)]
+    m[0] = F.when(F.expr("s % 11 <> 3"), m[0]).alias(_MANY_METRICS[0])
+    return d.select("source", F.concat(F.lit("r"), (F.col("c") % 2).cast("string")).alias("rep"),
+                    F.concat(F.lit("m"), F.expr("c DIV 2").cast("string")).alias("model"),
+                    F.when(F.expr("s % 7 = 0"), 0.5).otherwise(0.0).alias("overfit_flag_mean"), *m)
+
+
+def _tied(i):
+    if i == len(_MANY_METRICS):
+        return "w.i"
+    m, e = _MANY_METRICS[i], _MANY.tie_eps
+    return f"CASE WHEN x.{m} > w.{m} + {e} THEN x.i WHEN w.{m} > x.{m} + {e} THEN w.i ELSE {_tied(i + 1)} END"
+
+
+_P = _MANY_METRICS[0]
+
+
+@query("winner_many", sql=f"""WITH RECURSIVE d AS (SELECT source, doc_id % 8 AS c, CAST(sum(n_chars) AS BIGINT) AS s FROM documents GROUP BY 1, 2),
+m AS (SELECT source, 'r' || (c % 2) AS rep, 'm' || (c // 2) AS model, s,
+      {", ".join(f"CAST(0.5 AS DOUBLE) + ((s // {k + 1}) % 5) * CAST(0.004 AS DOUBLE) AS {c}" for k, c in enumerate(_MANY_METRICS))} FROM d),
+cand AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rep, model) AS i FROM m WHERE s % 7 <> 0 AND s % 11 <> 3),
+fold AS (SELECT source, CAST(1 AS BIGINT) AS i, CAST(1 AS BIGINT) AS win FROM cand WHERE i = 1
+  UNION ALL SELECT f.source, x.i, CASE WHEN x.{_P} > w.{_P} + {_MANY.tie_eps} THEN x.i
+      WHEN abs(x.{_P} - w.{_P}) <= {_MANY.tie_eps} THEN {_tied(1)} ELSE w.i END
+  FROM fold f JOIN cand x ON x.source IS NOT DISTINCT FROM f.source AND x.i = f.i + 1
+              JOIN cand w ON w.source IS NOT DISTINCT FROM f.source AND w.i = f.win)
+SELECT f.source, c.rep, c.model FROM fold f JOIN cand c ON c.source IS NOT DISTINCT FROM f.source AND c.i = f.win
+WHERE NOT EXISTS (SELECT 1 FROM fold g WHERE g.source IS NOT DISTINCT FROM f.source AND g.i > f.i)""")
+def winner_many(spark, sf):
+    """B5, G7, G8 for many experiments at once: flagged candidates and those without a metric
+    leave, near ties go on to the tie metrics."""
+    return SEL.pick_winner(SEL.overfit_filter(_many_summary(spark, sf), _MANY), _MANY, group_keys=["source"])
+
+
+@query("sorted_summary", sql=_XS + f"""SELECT row_number() OVER (ORDER BY {", ".join(f"{c} DESC NULLS LAST" for c in _MANY_METRICS)}, rep, model) AS place, rep, model FROM summary""")
+def sorted_summary(spark, sf):
+    """The candidates from the best on (one row per candidate of the grid)."""
+    s = SEL.sort_summary(SEL.fold_summary(_fixture_folds(spark, sf)), TD).select("rep", "model")
+    rows = [(i + 1, r["rep"], r["model"]) for i, r in enumerate(s.collect())]
+    return spark.createDataFrame(rows, "place long, rep string, model string")
+
+
+_MEAN_KEYS = [f"{c}_mean" for c in _NUM]
+
+
+@query("sink_json", sql=_XS + f"""SELECT rep AS winner_rep, model AS winner_model, 'folds.csv' AS results_folds_csv, 'summary.csv' AS results_summary_csv,
+unnest([{", ".join(f"'{c}'" for c in _MEAN_KEYS)}]) AS key, unnest([{", ".join(f"round({c}, 6)" for c in _MEAN_KEYS)}]) AS value FROM win JOIN summary USING (rep, model)""")
+def sink_json(spark, sf):
+    """The winner record with its paths and map, written as JSON and read back by its schema."""
+    import uuid
+
+    from corpusrank.session import ensure_checkpoint_dir
+    from corpusrank.sources import results as RS
+    s = SEL.fold_summary(_fixture_folds(spark, sf))
+    rec = SEL.winner_record(s, SEL.pick_winner(SEL.overfit_filter(s, TD), TD), TD, "folds.csv", "summary.csv")
+    path = RS.write_table(rec, f"{ensure_checkpoint_dir(spark).rstrip('/')}/sinks-{uuid.uuid4().hex}", "winner")
+    back = RS.read_json(spark, path, rec.schema)
+    return (back.select("winner_rep", "winner_model", "results_folds_csv", "results_summary_csv", F.explode_outer("winner_metrics_mean").alias("key", "value"))
+            .withColumn("value", F.round("value", 6)))
