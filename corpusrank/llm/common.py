@@ -46,11 +46,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 SMALL_BYTES = 1 << 20
 
 
-def saved(df: DataFrame, name: str = "saved") -> DataFrame:
+def saved(df: DataFrame, name: str = "saved", codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and read it
     again: cuts the lineage, survives lost executors, and later reads are
     column-pruned."""
-    return _written(df, name)[0]
+    return _written(df, name, codec)[0]
 
 
 def compacted(df: DataFrame, name: str = "saved") -> DataFrame:
@@ -62,9 +62,9 @@ def compacted(df: DataFrame, name: str = "saved") -> DataFrame:
     return out.coalesce(1) if size <= SMALL_BYTES else out
 
 
-def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def _written(df: DataFrame, name: str, codec: str = "snappy") -> tuple[DataFrame, str]:
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
