@@ -89,7 +89,8 @@ def shard(docs: DataFrame, n_shards: int = 24, n_slots: int = 4096, id_col: str
           text_col: str = "text", map_path: str | None = None) -> DataFrame:
     """``(id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot,
     map_version)``.  With ``map_path`` the newest stored map is the one edited
-    and the edit is stored as its next version."""
+    and the edit is stored as its next version; a map of another number of slots, or
+    of more shards than asked for, is an error."""
     spark = docs.sparkSession
     rows = slotted(docs, id_col, text_col, n_slots)
     per_slot = rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()
@@ -99,6 +100,8 @@ def shard(docs: DataFrame, n_shards: int = 24, n_slots: int = 4096, id_col: str
     jpath = spark._jvm.org.apache.hadoop.fs.Path(map_path) if map_path else None
     if jpath and jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
         version, slot_map = load_map(spark, map_path)
+        if len(slot_map) != n_slots or max(slot_map) >= n_shards:
+            raise ValueError(f"the map in {map_path} has {len(slot_map)} slots and {max(slot_map) + 1} shards, not {n_slots} and at most {n_shards}")
     else:
         version, slot_map = 1, first_map(n_slots, n_shards)
         if map_path:

@@ -80,7 +80,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = 3, seed: int = 42, b
 def repeated(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` in the proportions of ``mixed``: every document once per whole
     repetition, and once more when at least half of it lies in the fractional
-    one.  Keeps the columns of ``docs``; repeated rows of an id share a count."""
+    one.  Documents without words weigh nothing in the mixture and have no copy.
+    Keeps the columns of ``docs``; repeated rows of an id share a count."""
     copies = F.expr("if(size > 0, int(floor(taken / size + 0.5D)), 0)")
     n = mixed.select(F.col(id_col).alias("id"), copies.alias("copies")).groupBy("id").agg(F.max("copies").alias("copies"))
     d = docs.select(F.struct(*docs.columns).alias("d"))       # extra columns can't clash with ours

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 
+import pytest
 from corpusrank.llm import op1_exact_dedup as o1
 from corpusrank.llm import op2_sharding as o2
 from llm_rows import ROWS
@@ -72,3 +73,12 @@ def test_map_versions_and_growth(spark, tmp_path):
     assert (g[moved] == 4).all()
     load = np.bincount(g, weights=b, minlength=5)
     assert load.max() - load.min() < 0.1 * load.mean()
+
+
+def test_a_map_of_another_shape_is_an_error(spark, edge, tmp_path):
+    path = f"file://{tmp_path}/map"
+    o2.shard(edge, n_shards=4, n_slots=64, map_path=path).count()
+    for shards, slots in ((4, 128), (2, 64)):
+        with pytest.raises(ValueError, match="64 slots"):
+            o2.shard(edge, n_shards=shards, n_slots=slots, map_path=path)
+    assert o2.shard(edge, n_shards=6, n_slots=64, map_path=path).count() == edge.count()
