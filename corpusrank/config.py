@@ -73,7 +73,7 @@ class Options:
     topk_block_users: int = 1024
 
     # fits of the grid that run at once
-    parallelism: int = 4
+    parallelism: int = 8
 
     # grid switches
     run_w2v: bool = True
