@@ -9,15 +9,16 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from corpusrank.functions.vectors import l2_norm
 from corpusrank.operators import selection as SEL
 from corpusrank.operators.embed import as_ml_vector, fit_lsa, fit_w2v
-from corpusrank.operators.models import fit_model, model_scores
+from corpusrank.operators.models import coefficients, fit_model, model_scores, table_scores
 from corpusrank.operators.splits import split_table, stratified_folds
 from corpusrank.operators import retrieval as R
-from corpusrank.plans.common import TD, emb_vectors
+from corpusrank.plans.common import TD, emb_vectors, table
 from corpusrank.plans.experiment import evaluate, run_benchmark, score_grid, write_outputs
 from corpusrank.plans.fixtures import experiment_fixture
 from corpusrank.plans.q_corpus import labelled
@@ -55,12 +56,13 @@ def w2v_embed(spark, sf):
     return _embed_summary(fit_w2v(c, TD).transform(c))
 
 
-_SCORED = f"""WITH {corpus_ctes()}, {folds_cte()} SELECT CAST(fold AS INTEGER) AS fold, doc_id, CAST(y AS INTEGER) AS y, TRUE AS in_range FROM folds"""
+_SCORED = f"""WITH {corpus_ctes()}, {folds_cte()} SELECT CAST(fold AS INTEGER) AS fold, doc_id, CAST(y AS INTEGER) AS y, TRUE AS in_range, TRUE AS agrees FROM folds"""
 
 
 def _oof_scores(spark, sf, model):
     """Out-of-fold scores of every labelled document: LSA and model fitted on a
-    fold's outer training rows only -> (fold, doc_id, y, score)."""
+    fold's outer training rows only -> (fold, doc_id, y, score, table_score); the
+    last is computed from the model's exported coefficients or tree nodes."""
     from corpusrank.operators.tfidf import analyze
     from corpusrank.session import cut_lineage
     c = cut_lineage(labelled(spark, sf).select("doc_id", "text", "y"))
@@ -74,13 +76,15 @@ def _oof_scores(spark, sf, model):
         v = fit_lsa(tr, TD, terms=terms).transform(x)
         v = cut_lineage(as_ml_vector(v.join(x.select("doc_id", "y", "test"), "doc_id")))
         m = fit_model(model, v.filter(~F.col("test")).drop("test"), TD)
-        parts.append(model_scores(m, v.filter(F.col("test"))).select(
-            F.lit(fold).cast("int").alias("fold"), "doc_id", F.col("y").cast("int").alias("y"), "score"))
+        test = v.filter(F.col("test"))
+        parts.append(model_scores(m, test).join(table_scores(spark, m, test, "table_score"), "doc_id", "left").select(
+            F.lit(fold).cast("int").alias("fold"), "doc_id", F.col("y").cast("int").alias("y"), "score", "table_score"))
     return SEL.union_all(parts)
 
 
 def _in_range(scores):
-    return scores.select("fold", "doc_id", "y", F.col("score").between(0.0, 1.0).alias("in_range"))
+    agrees = F.coalesce(F.abs(F.col("score") - F.col("table_score")) < 1e-9, F.lit(False))
+    return scores.select("fold", "doc_id", "y", F.col("score").between(0.0, 1.0).alias("in_range"), agrees.alias("agrees"))
 
 
 @query("score_logreg", sql=_SCORED)
@@ -107,6 +111,47 @@ def score_rf(spark, sf):
     return _in_range(_oof_scores(spark, sf, "rf"))
 
 
+# Newton's method on the penalised, class-balanced likelihood of one feature, in SQL: with
+# regParam 1 / sum(w) the objective is sum(w_i * loss_i) / sum(w) + a^2 / (2 * sum(w)).
+_NEWTON = """WITH RECURSIVE d AS (
+  SELECT vec_id AS doc_id, CAST(embedding[1] AS DOUBLE) AS x, CASE WHEN label = 0 THEN 1.0 ELSE 0.0 END AS y FROM embeddings),
+n AS (SELECT y, count(*) AS c FROM d GROUP BY y),
+t AS (SELECT d.doc_id, d.x, d.y, (SELECT sum(c) FROM n) / (2.0 * n.c) AS w FROM d JOIN n USING (y)),
+fit AS (
+  SELECT 0 AS i, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b
+  UNION ALL
+  SELECT i + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab)
+  FROM (SELECT i, any_value(a) AS a, any_value(b) AS b,
+               sum(w * (p - y) * x) + any_value(a) AS ga, sum(w * (p - y)) AS gb,
+               sum(w * p * (1 - p) * x * x) + 1 AS haa, sum(w * p * (1 - p) * x) AS hab, sum(w * p * (1 - p)) AS hbb
+        FROM (SELECT f.i, f.a, f.b, t.*, 1 / (1 + exp(-(f.a * t.x + f.b))) AS p FROM fit f, t WHERE f.i < 12) GROUP BY i)),
+m AS (SELECT a, b FROM fit WHERE i = 12)"""
+
+
+def _balanced_logreg(spark, sf):
+    """(model, rows): label 0 of `embeddings` against the rest, from the first entry."""
+    x = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), (F.col("label") == 0).cast("int").alias("y"),
+                                              array_to_vector(F.array(F.col("embedding")[0].cast("double"))).alias("features"))
+    x = cut_lineage(x)
+    return fit_model("logreg", x, TD), x
+
+
+@query("logreg_coefficients", sql=_NEWTON + " SELECT round(a, 3) AS slope, round(b, 3) AS intercept FROM m")
+def logreg_coefficients(spark, sf):
+    """M8 + D21 by value: the fitted model as a table of its coefficients."""
+    m, _ = _balanced_logreg(spark, sf)
+    c = coefficients(spark, m)
+    return c.groupBy().pivot("term", ["intercept", "0"]).agg(F.first("value")).select(
+        F.round(F.col("0"), 3).alias("slope"), F.round("intercept", 3).alias("intercept"))
+
+
+@query("logreg_scores", sql=_NEWTON + " SELECT doc_id, CAST(y AS INTEGER) AS y, round(1 / (1 + exp(-(a * x + b))), 3) AS score FROM t, m")
+def logreg_scores(spark, sf):
+    """M8 + M13 by value: the score of every row."""
+    m, x = _balanced_logreg(spark, sf)
+    return model_scores(m, x).select("doc_id", "y", F.round("score", 3).alias("score"))
+
+
 _GRID = sorted((r, m) for r in TD.reps for m in TD.models if not r.startswith("w2v") or m == TD.w2v_only_for_model)
 _GRID_SQL = ", ".join(f"(CAST({f} AS INTEGER), '{r}', '{m}', TRUE)" for f in range(1, TD.outer_folds + 1) for r, m in _GRID)
 
