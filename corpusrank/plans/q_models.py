@@ -8,23 +8,25 @@ tests/."""
 from __future__ import annotations
 
 import uuid
+from functools import partial
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from corpusrank.functions.vectors import l2_norm
 from corpusrank.operators import selection as SEL
-from corpusrank.operators.embed import as_ml_vector, fit_lsa, fit_w2v
+from corpusrank.operators.embed import fit_lsa, fit_w2v
 from corpusrank.operators.models import coefficients, fit_model, model_scores, table_scores
-from corpusrank.operators.splits import split_table, stratified_folds
+from corpusrank.operators.splits import stratified_folds
+from corpusrank.operators.tfidf import analyze
 from corpusrank.operators import retrieval as R
 from corpusrank.plans.common import TD, emb_vectors, table
-from corpusrank.plans.experiment import evaluate, run_benchmark, score_grid, write_outputs
+from corpusrank.plans.experiment import at_once, evaluate, features, run_benchmark, score_grid, write_outputs
 from corpusrank.plans.fixtures import experiment_fixture
 from corpusrank.plans.q_corpus import labelled
 from corpusrank.plans.registry import query
 from corpusrank.plans.sql import corpus_ctes, folds_cte, sql_normalize, sql_tokenize, tfidf_ctes
-from corpusrank.session import cut_lineage, ensure_checkpoint_dir
+from corpusrank.session import cut_lineage, ensure_checkpoint_dir, saved
 from corpusrank.sources import results as RS
 from corpusrank.sources.results import EXPECTED_OUTPUTS
 
@@ -63,23 +65,21 @@ def _oof_scores(spark, sf, model):
     """Out-of-fold scores of every labelled document: LSA and model fitted on a
     fold's outer training rows only -> (fold, doc_id, y, score, table_score); the
     last is computed from the model's exported coefficients or tree nodes."""
-    from corpusrank.operators.tfidf import analyze
-    from corpusrank.session import cut_lineage
     c = cut_lineage(labelled(spark, sf).select("doc_id", "text", "y"))
     terms = analyze(c, TD)
     folds = cut_lineage(stratified_folds(c.select("doc_id", "y"), TD))
-    parts = []
-    for fold in range(1, int(TD.outer_folds) + 1):
-        of = folds.select("doc_id", (F.col("fold") == fold).alias("test"))
-        x = c.join(of, "doc_id")
-        tr = x.filter(~F.col("test"))
-        v = fit_lsa(tr, TD, terms=terms).transform(x)
-        v = cut_lineage(as_ml_vector(v.join(x.select("doc_id", "y", "test"), "doc_id")))
+
+    def scored(fold):
+        x = c.join(folds.select("doc_id", (F.col("fold") == fold).alias("test")), "doc_id")
+        rep = fit_lsa(x.filter(~F.col("test")), TD, terms=terms)
+        v = features(rep, x, x.select("doc_id", "y", "test"))
         m = fit_model(model, v.filter(~F.col("test")).drop("test"), TD)
         test = v.filter(F.col("test"))
-        parts.append(model_scores(m, test).join(table_scores(spark, m, test, "table_score"), "doc_id", "left").select(
-            F.lit(fold).cast("int").alias("fold"), "doc_id", F.col("y").cast("int").alias("y"), "score", "table_score"))
-    return SEL.union_all(parts)
+        out = model_scores(m, test).join(table_scores(spark, m, test, "table_score"), "doc_id", "left")
+        return saved(out.select(F.lit(fold).cast("int").alias("fold"), "doc_id", F.col("y").cast("int").alias("y"),
+                                "score", "table_score"), "scores")
+
+    return SEL.union_all(at_once([partial(scored, f) for f in range(1, int(TD.outer_folds) + 1)], TD.parallelism))
 
 
 def _in_range(scores):
