@@ -29,8 +29,7 @@ class Options:
     tfidf_min_df: int = 2
     tfidf_stop_words: bool = True
     lsa_dim: int = 128
-    # Fixed value: the vocabulary of the LSA representation; its factor matrix
-    # has this many rows, on the driver too.
+    # Fixed value: the vocabulary of the LSA representation
     lsa_max_features: int = 60000
 
     # Word2Vec (Spark's trainer: no negative-sampling / CBOW switch)

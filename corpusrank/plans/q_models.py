@@ -1,9 +1,10 @@
 """Registered trained-model queries.
 
-Trained models have no SQL equivalent; SQL checks what must hold whatever was
-learnt (every row of every fold is scored, scores lie in [0, 1], vectors are
-unit vectors, metrics lie in range, outputs exist).  Quality bounds are in
-tests/."""
+SQL fits the one-feature logistic regression itself and compares values.  For the
+other trained models it checks what must hold whatever was learnt (every row of
+every fold is scored, scores lie in [0, 1] and equal those of the exported model
+tables, vectors are unit vectors, metrics lie in range, outputs exist).  Quality
+bounds are in tests/."""
 
 from __future__ import annotations
 
