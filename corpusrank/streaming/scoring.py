@@ -22,12 +22,16 @@ from corpusrank.session import ensure_checkpoint_dir
 def document_stream(spark: SparkSession, directory: str, glob: str = "*.parquet", schema=None,
                     max_files_per_trigger: int | None = None) -> DataFrame:
     """A file stream of documents: parquet files in ``directory`` matching
-    ``glob`` (new files are picked up by later triggers)."""
-    schema = schema or spark.read.option("pathGlobFilter", glob).parquet(directory).schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    ``glob`` (new files are picked up by later triggers).  A match may also be a
+    folder of parquet files, as Spark writes a table."""
+    # a pattern even where it names one table: a plain path has to be a folder
+    name = glob if any(c in glob for c in "*?[{") else f"{{{glob}}}"
+    path = f"{directory.rstrip('/')}/{name}"
+    schema = schema or spark.read.parquet(path).schema
+    r = spark.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", int(max_files_per_trigger))
-    return r.parquet(directory)
+    return r.parquet(path)
 
 
 def normalized_stream(stream: DataFrame, max_tokens: int = 0) -> DataFrame:

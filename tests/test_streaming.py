@@ -20,6 +20,16 @@ def test_normalized_stream(spark):
     assert set(out.columns) == {"doc_id", "clean", "n_tokens"}
 
 
+def test_table_as_a_folder_of_files(spark, tmp_path):
+    rows = [(i, f"Word{i} two") for i in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(99, "other")], "doc_id long, text string").write.parquet(str(tmp_path / "labels.parquet"))
+    out = spark.read.parquet(run_to_table(normalized_stream(document_stream(spark, str(tmp_path), glob="documents.parquet"))))
+    assert sorted((r["doc_id"], r["clean"], r["n_tokens"]) for r in out.collect()) == [(i, f"word{i} two", 2) for i in range(12)]
+    few = run_to_table(normalized_stream(document_stream(spark, str(tmp_path), glob="doc*.parquet", max_files_per_trigger=1)))
+    assert spark.read.parquet(few).count() == 12
+
+
 def test_score_stream(spark):
     c = labelled(spark, SF)
     rep = fit_lsa(c, O)
