@@ -111,3 +111,37 @@ def test_long_lines_by_edit_similarity(spark):
     pairs = spark.createDataFrame([(0, b) for b in range(1, len(texts))], "a long, b long")
     got = {r.b for r in o10.verifier(hashed, o10.SIMILARITY)(pairs).collect()}
     assert got == {1, 3, 4, 7}
+
+
+def edited(seed=3, n=60):
+    """Short lines and copies of them with one or two characters replaced."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randrange(1, 4)))
+    out = []
+    for _ in range(n):
+        w = " ".join(word() for _ in range(rng.randrange(3, 6)))
+        while len(w) < o10.MIN_CHARS:
+            w += " " + word()
+        t = list(w)
+        for k in rng.sample(range(len(t)), rng.randrange(1, 3)):
+            t[k] = "x"
+        out += [w, "".join(t)]
+    return list(dict.fromkeys(out))
+
+
+def test_every_class_gives_a_key(spark):
+    """Short lines, whose classes tell too little alone, are blocked like others."""
+    texts = [*edited(), "a b c", "aaaaaaaaaaaaaaaaaaaaaaaa", "na na na na na na na", "one two three four five six seven"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keys = o10.block_keys(df.select(F.col("doc_id").alias("line_hash"), F.col("text").alias("norm")))
+    assert {r["id"] for r in keys.select("id").distinct().collect()} == set(range(len(texts)))
+
+
+def test_short_lines_with_few_edits_are_found(spark):
+    texts = edited()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    links = [(j, i) for i, a in enumerate(texts) for j, b in enumerate(texts[:i]) if edit(a, b) <= 0.25 * max(len(a), len(b)) + 1e-9]
+    group = groups(range(len(texts)), links)
+    want = {i for i, g in group.items() if g != i}
+    got = {r["doc_id"] for r in o10.per_document(df).collect() if r["removed"]}
+    assert len(want) >= 50 and got <= want and len(got) >= 0.75 * len(want)
