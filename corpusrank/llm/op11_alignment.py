@@ -22,8 +22,8 @@ and the ranges' fragments are joined ``FAN`` to one in Spark rounds.  Closed gro
 leave as rows at once; only open ends and counters travel up the tree.
 
 Counts.  A block's distinct pairs go through Spark aggregations to corpus-wide counts
-and each A id's highest count; a block gets back the counts of its own pairs only.
-No table of all pairs is collected or broadcast.
+and each A id's highest count; a block gets back the counts of its own pairs only, in
+a few rows before its own.  No table of all pairs is collected or broadcast.
 
 A text has no tokens (zeros, empty digest) when it is null or empty or when the joined
 bytes of A or B differ from the blank and the text.  Null ids and repeated rows are
@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 from corpusrank.llm.common import saved
 
 A_VOCABULARY, B_VOCABULARY = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
-RANGE, FAN, BLOCK = 1 << 16, 8, 2_000_000
+RANGE, FAN, BLOCK, SLICES = 1 << 16, 8, 1_000_000, 16
 BLANK = "▁"
 # A blank between two characters that are no white space: both tokenizers split before it.
 BETWEEN = re.compile(rf"(?<=[^\s{BLANK}]) (?=[^\s{BLANK}])")
@@ -361,7 +361,7 @@ def joined(frags: DataFrame, paths: tuple[str, str], fan: int = FAN) -> tuple[Da
     def leaving(level: DataFrame) -> DataFrame:
         return level.select("doc", F.explode("closed").alias("c")).select("doc", "c.*")
 
-    level = saved(frags, "fragments")
+    level = saved(frags, "fragments", wide=True)
     out = [leaving(level)]
     # a document's fragments numbered without gaps, so that every round joins `fan`
     order = level.groupBy("doc").agg(F.array_sort(F.collect_list("no")).alias("nos"))
@@ -372,7 +372,7 @@ def joined(frags: DataFrame, paths: tuple[str, str], fan: int = FAN) -> tuple[Da
         rounds += 1
         keyed = level.withColumn("_g", F.expr(f"place DIV {fan}")).withColumn("whole", F.lit(fan ** rounds >= most))
         level = saved(keyed.drop("n").groupBy("doc", "_g").applyInPandas(
-            lambda pdf: compose(pdf.drop(columns="_g")), f"{FRAGMENT}, place long"), "fragments")
+            lambda pdf: compose(pdf.drop(columns="_g")), f"{FRAGMENT}, place long"), "fragments", wide=True)
         out.append(leaving(level))
         if fan ** rounds >= most:
             return level, reduce(DataFrame.unionByName, out)
@@ -381,30 +381,49 @@ def joined(frags: DataFrame, paths: tuple[str, str], fan: int = FAN) -> tuple[Da
 
 # ---- whole corpus -----------------------------------------------------------
 
-def _looked_up(pair: np.ndarray, lookup: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of pairs and whether each is its A id's best, from a block's answer."""
-    known = np.array(lookup["known"], dtype=np.int64)
+def _looked_up(pair: np.ndarray, known: np.ndarray, docs: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of pairs and whether each is its A id's best, from a block's answers."""
     by = np.argsort(known)
     at = by[np.searchsorted(known, pair, sorter=by)]
-    return np.array(lookup["docs"], dtype=np.int64)[at], np.array(lookup["best"], dtype=bool)[at]
+    return docs[at], best[at]
 
 
 RESULT = "id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
+def _answer(r: pd.Series, known: np.ndarray, docs: np.ndarray, best: np.ndarray) -> pd.DataFrame:
+    out = pd.DataFrame({c: r[c] for c in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256")})
+    out.insert(0, "id", pd.array([None if pd.isna(i) else int(i) for i in r["id"]], dtype="Int64"))
+    who = np.repeat(np.arange(len(out)), r["n_pairs"])
+    n_best, count_sum = np.zeros((2, len(out)), dtype=np.int64)
+    if len(who):
+        docs, best = _looked_up(r["pair"], known, docs, best)
+        times = np.array(r["times"], dtype=np.int64)
+        np.add.at(n_best, who, times * best)
+        np.add.at(count_sum, who, times * docs)
+    return out.assign(n_best=n_best, count_sum=count_sum)
+
+
 def _answers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """From rows in the order of blocks, a block's answers before its texts (``texts``):
+    one block is held at a time."""
+    held = []
     for pdf in batches:
-        for _, r in pdf.iterrows():
-            out = pd.DataFrame({c: r[c] for c in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256")})
-            out.insert(0, "id", pd.array([None if pd.isna(i) else int(i) for i in r["id"]], dtype="Int64"))
-            who = np.repeat(np.arange(len(out)), r["n_pairs"])
-            n_best, count_sum = np.zeros((2, len(out)), dtype=np.int64)
-            if len(who):
-                docs, best = _looked_up(r["pair"], r)
-                times = np.array(r["times"], dtype=np.int64)
-                np.add.at(n_best, who, times * best)
-                np.add.at(count_sum, who, times * docs)
-            yield out.assign(n_best=n_best, count_sum=count_sum)
+        for i, (texts, known, docs, best) in enumerate(zip(pdf["texts"], pdf["known"], pdf["docs"], pdf["best"])):
+            if not texts:
+                held.append((known, docs, best))
+                continue
+            known, docs, best = (np.concatenate(x) for x in zip(*held)) if held else (NONE, NONE, NONE)
+            yield _answer(pdf.iloc[i], known, docs, best)
+            held = []
+
+
+def answers(asked: DataFrame, best: DataFrame) -> DataFrame:
+    """``(block, known, docs, best)`` for ``asked(block, pair)``: the answers of a block in
+    ``SLICES`` rows.  An aggregation by object holds many groups at once, so they are small."""
+    rows = asked.join(best, "pair").withColumn("slice", F.expr(f"pmod(hash(pair), {SLICES})")).repartition("block")
+    return rows.groupBy("block", "slice").agg(F.collect_list(F.struct("pair", "docs", "best")).alias("x")).select(
+        "block", F.col("x.pair").alias("known"), F.col("x.docs").alias("docs"), F.col("x.best").alias("best"))
 
 
 def pair_counts(blocks: DataFrame, long_pairs: DataFrame | None, n_b_ids: int) -> DataFrame:
@@ -428,8 +447,8 @@ def per_document(docs: DataFrame, paths: tuple[str, str] | None = None, size: in
     n_b = sentencepiece.SentencePieceProcessor(model_file=paths[1]).get_piece_size()
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     is_long = F.octet_length("text") >= size
-    short = saved(blocks(d.where(~is_long), paths, block), "blocks")
-    long = saved(d.where(is_long).select("id", F.monotonically_increasing_id().alias("doc"), "text"), "long-texts")
+    short = saved(blocks(d.where(~is_long), paths, block), "blocks", wide=True)
+    long = saved(d.where(is_long).select("id", F.monotonically_increasing_id().alias("doc"), "text"), "long-texts", wide=True)
     long_out, long_pairs = None, None
     if not long.isEmpty():
         whole, closed = joined(fragments(long.select("doc", "text"), paths, size), paths)
@@ -450,10 +469,9 @@ def per_document(docs: DataFrame, paths: tuple[str, str] | None = None, size: in
                     .select("id", *[F.coalesce(c, F.lit(0)).alias(c) for c in (*numbers, "n_best", "count_sum")],
                             F.coalesce("groups_sha256", F.lit("")).alias("groups_sha256")))
     asked = short.select("block", F.explode("block_pair").alias("pair"))
-    answer = asked.join(best, "pair").groupBy("block").agg(
-        F.collect_list(F.struct("pair", "docs", "best")).alias("x")).select(
-        "block", F.col("x.pair").alias("known"), F.col("x.docs").alias("docs"), F.col("x.best").alias("best"))
-    out = short.drop("block_pair", "block_docs").join(answer, "block", "left").mapInPandas(_answers, RESULT)
+    texts = short.drop("block_pair", "block_docs").withColumn("texts", F.lit(True))
+    rows = texts.unionByName(answers(asked, best).withColumn("texts", F.lit(False)), allowMissingColumns=True)
+    out = rows.repartition("block").sortWithinPartitions("block", "texts").mapInPandas(_answers, RESULT)
     if long_out is not None:
         out = out.unionByName(long_out.select(*out.columns))
     return out.withColumnRenamed("id", id_col)

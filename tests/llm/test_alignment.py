@@ -115,3 +115,36 @@ def test_edges(edge, empty, tok):
     got = M.per_document(edge, size=20_000).collect()
     assert sorted((str(r.doc_id), *(r[c] for c in COLUMNS)) for r in got) == want
     assert M.per_document(empty).collect() == []
+
+
+def test_wide_rows_make_small_row_groups(spark):
+    """Rows of a megabyte are not gathered by the hundred before Parquet looks at their size."""
+    from glob import glob
+
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+    from corpusrank.llm.common import saved
+    rows = spark.range(0, 48, 1, 1).select("id", F.transform(F.sequence(F.lit(1), F.lit(125_000)), lambda i: F.xxhash64(i, "id")).alias("x"))
+    files = glob(f"{saved(rows, 'wide-test', wide=True).inputFiles()[0].removeprefix('file:')}")
+    meta = pq.ParquetFile(files[0]).metadata
+    assert meta.num_rows == 48 and max(meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)) < 24 << 20
+
+
+def test_answers_are_small_rows(spark):
+    """A block's answers come in small rows, which may lie in several batches."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+    best = spark.range(4000).select(F.col("id").cast("int").alias("pair"), F.lit(2).cast("long").alias("docs"), F.lit(True).alias("best"))
+    rows = M.answers(best.crossJoin(spark.createDataFrame([(1,), (2,)], "block long")).select("block", "pair"), best).collect()
+    assert sorted({r.block for r in rows}) == [1, 2] and max(len(r.known) for r in rows) < 500
+    assert sorted(x for r in rows if r.block == 1 for x in r.known) == list(range(4000))
+
+    nobody = {c: None for c in ("id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_pairs", "pair", "times")}
+    texts = {"texts": True, "known": None, "docs": None, "best": None, "id": [5, None], "n_a": [2, 0], "n_b": [2, 0], "n_groups": [1, 0], "n_links": [3, 0],
+             "groups_sha256": ["x", ""], "n_pairs": [2, 0], "pair": np.array([9, 4]), "times": np.array([1, 2])}
+    ask = lambda pair, docs, best: {"texts": False, "known": np.array([pair]), "docs": np.array([docs]), "best": np.array([best]), **nobody}
+    rows = [ask(4, 7, True), ask(9, 3, False), texts, ask(4, 7, True), ask(9, 3, False), texts, {**texts, "n_pairs": [0, 0], "pair": [], "times": []}]
+    for cuts in ([7], [1, 2, 4], [2, 1, 1, 1, 1, 1]):
+        at = np.cumsum([0, *cuts])
+        got = pd.concat(M._answers(pd.DataFrame(rows[a:z], columns=list(rows[0])) for a, z in zip(at, at[1:])))
+        assert got["count_sum"].tolist() == [17, 0, 17, 0, 0, 0] and got["n_best"].tolist() == [2, 0, 2, 0, 0, 0]
